@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import cutoff, percentiles, topn
+from vectrail.llm import components, cutoff, overlap, percentiles, topn
 from vectrail.tables import latest, table
 
 PERCENTS = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -55,11 +55,49 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_n(cases, groups, "cosine_similarity", "case_id", 5).select(F.col("item").alias("case_id"))
 
 
+def _units(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+    return latest(table(spark, root, "make_splits"), "unit_id", [*columns, "is_control"]).where("NOT is_control").drop("is_control")
+
+
+_UNIT = ["split_id", "split_part", "dataset_id", "reference_key", "perturbation_label"]
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    members, classes, pairs = overlap.cross_split(_units(spark, root, _UNIT))
+    return overlap.same_units(members, classes, pairs).select("unit_id_a", "unit_id_b")
+
+
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.report(*overlap.cross_split(_units(spark, root, _UNIT)))
+
+
+def _groups(spark: SparkSession, root: str) -> DataFrame:
+    runs = latest(table(spark, root, "run_baseline"), "run_id", ["split_family", "dataset_scope", "heldout_target"])
+    held = runs.where("split_family = 'unseen_combination_split'").select(
+        F.col("dataset_scope").alias("dataset_id"), F.col("heldout_target").alias("label")
+    )
+    return components.groups(_units(spark, root, ["dataset_id", "perturbation_label"]), held)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return _groups(spark, root).where("unit_id <> group_id").select("group_id", "unit_id")
+
+
+def p4_splits(spark: SparkSession, root: str) -> DataFrame:
+    from vectrail.session import scratch
+
+    return components.assign(scratch(_groups(spark, root)), {"train": 0.7, "validation": 0.15, "test": 0.15})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p1_days_combined": p1_days_combined,
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
     "p6_found": p6_found,
 }
 
