@@ -22,7 +22,7 @@ from vectrail.functions.labels import canonical_targets, dataset_key
 from vectrail.session import cut, scratch
 
 #: A component with at least this share of all units is placed by size, not by hash: at most 1/BIG of them.
-BIG = 0.002
+BIG = 0.0005
 
 
 def hash_to_min(edges: DataFrame) -> DataFrame:
@@ -91,30 +91,28 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
 def assign(grouped: DataFrame, shares: dict[str, float], big: float = BIG, seed: int = 0) -> DataFrame:
     """(unit_id, group_id, split): whole groups, the splits' shares of units as near as the groups allow.
 
-    Groups holding at least ``big`` of all units, of which there are at most
-    1/big, are placed from large to small where most is missing.  All others go by
-    weighted rendezvous hashing, weighted by what each split still lacks.
+    Most groups go by weighted rendezvous hashing.  Groups holding at least ``big``
+    of all units, of which there are at most 1/big, are placed after that, from
+    large to small, each where most is missing by then.
     """
+    spark = grouped.sparkSession
     sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [
-        (r["group_id"], r["n"])
-        for r in sizes.where(F.col("n") >= F.lit(max(2.0, big * total))).orderBy(F.col("n").desc(), "group_id").collect()
-    ]  # at most 1/big groups
-    lacking = {s: share * total for s, share in shares.items()}
-    placed = []
-    for group, n in large:
-        to = max(lacking, key=lambda s: (lacking[s], s))
-        placed.append((group, to))
-        lacking[to] -= n
-    weights = {s: max(w, 1e-9) for s, w in lacking.items()}
+    limit = max(2.0, big * total)
 
     def draw(s: str):
         unit = (F.pmod(F.xxhash64("group_id", F.lit(s), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        return F.struct((-F.lit(weights[s]) / F.log(unit)).alias("w"), F.lit(s).alias("split"))
+        return F.struct((-F.lit(float(shares[s])) / F.log(unit)).alias("w"), F.lit(s).alias("split"))
 
-    best = reduce(lambda a, b: F.when(a["w"] >= b["w"], a).otherwise(b), [draw(s) for s in sorted(weights)])
-    spark = grouped.sparkSession
-    fixed = spark.createDataFrame(placed, "group_id long, fixed string")
-    where = sizes.join(F.broadcast(fixed), "group_id", "left").select("group_id", F.coalesce("fixed", best["split"]).alias("split"))
+    best = reduce(lambda a, b: F.when(a["w"] >= b["w"], a).otherwise(b), [draw(s) for s in sorted(shares)])
+    hashed = sizes.where(F.col("n") < limit).select("group_id", "n", best["split"].alias("split"))
+    lacking = {s: share * total for s, share in shares.items()}
+    for row in hashed.groupBy("split").agg(F.sum("n").alias("n")).collect():  # one row per split
+        lacking[row["split"]] -= row["n"]
+    placed = []
+    for row in sizes.where(F.col("n") >= limit).orderBy(F.col("n").desc(), "group_id").collect():  # at most 1/big rows
+        to = max(lacking, key=lambda s: (lacking[s], s))
+        placed.append((row["group_id"], to))
+        lacking[to] -= row["n"]
+    where = hashed.select("group_id", "split").unionByName(spark.createDataFrame(placed, "group_id long, split string"))
     return grouped.join(where, "group_id").select("unit_id", "group_id", "split")
