@@ -1,6 +1,6 @@
 """Named queries over the project's tables, with the SQL they are held against."""
 
-from vectrail.plans import packed_queries
+from vectrail.plans import impute_queries, packed_queries
 
-QUERIES = {**packed_queries.QUERIES}
-SQL = {**packed_queries.SQL}
+QUERIES = {**packed_queries.QUERIES, **impute_queries.QUERIES}
+SQL = {**packed_queries.SQL, **impute_queries.SQL}
