@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import components, cutoff, overlap, percentiles, topn
+from vectrail.llm import components, cutoff, overlap, percentiles, tokens, topn
 from vectrail.tables import latest, table
 
+#: Where the public vocabulary lies; a parameter of the deployment, never part of this repository.
+VOCABULARY = os.environ.get("VECTRAIL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PERCENTS = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
 
@@ -89,6 +92,10 @@ def p4_splits(spark: SparkSession, root: str) -> DataFrame:
     return components.assign(scratch(_groups(spark, root)), {"train": 0.7, "validation": 0.15, "test": 0.15})
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p1_days_combined": p1_days_combined,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
 }
 
 _LATEST = """latest AS (
