@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import components, cutoff, overlap, percentiles, tokens, topn
+from vectrail.llm import components, cutoff, leakage, overlap, percentiles, tokens, topn
 from vectrail.tables import latest, table
 
 #: Where the public vocabulary lies; a parameter of the deployment, never part of this repository.
@@ -96,6 +96,27 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_texts(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
 
 
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.find_leaks(
+        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text"
+    )
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, root: str) -> DataFrame:
+    """Every held-out item with the number of documents it leaked into and the longest stretch."""
+    found = _leaks(spark, root).groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest")
+    )
+    items = table(spark, root, "eval_items").select("item_id", "split_part")
+    return items.join(found, "item_id", "left").select(
+        "item_id", "split_part", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p1_days_combined": p1_days_combined,
@@ -107,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_splits": p4_splits,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 _LATEST = """latest AS (
