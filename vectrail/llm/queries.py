@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import components, cutoff, leakage, overlap, percentiles, tokens, topn
+from vectrail.llm import components, cutoff, leakage, overlap, percentiles, subjects, tokens, topn
 from vectrail.tables import latest, table
 
 #: Where the public vocabulary lies; a parameter of the deployment, never part of this repository.
@@ -117,6 +117,25 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    areas = [r[0] for r in table(spark, root, "subject_areas").select("subject").orderBy("subject").collect()]  # the list of subjects
+    return subjects.assign(
+        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "subject_labels"), areas
+    )
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents of each source and kind are about each subject."""
+    kinds = table(spark, root, "documents").select("doc_id", "source", "doc_kind")
+    return _subjects(spark, root).join(kinds, "doc_id").groupBy("subject", "source", "doc_kind").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_sentences").alias("n_sentences")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p1_days_combined": p1_days_combined,
@@ -130,6 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _LATEST = """latest AS (
