@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import canonical_targets, dataset_key
@@ -23,6 +23,8 @@ from vectrail.session import cut, scratch
 
 #: A component with at least this share of all units is placed by size, not by hash: at most 1/BIG of them.
 BIG = 0.0005
+#: How often the hash's weights are tuned at most, and the deviation that is good enough.
+TUNINGS, TOLERANCE = 12, 0.0005
 
 
 def hash_to_min(edges: DataFrame) -> DataFrame:
@@ -91,24 +93,28 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
 def assign(grouped: DataFrame, shares: dict[str, float], big: float = BIG, seed: int = 0) -> DataFrame:
     """(unit_id, group_id, split): whole groups, the splits' shares of units as near as the groups allow.
 
-    Most groups go by weighted rendezvous hashing.  Groups holding at least ``big``
-    of all units, of which there are at most 1/big, are placed after that, from
-    large to small, each where most is missing by then.
+    Most groups go by weighted rendezvous hashing; its weights are turned up or down
+    a few times, by one sum over the groups' sizes each, until the hashed shares
+    are as wanted.  Groups holding at least ``big`` of all units, of which there are
+    at most 1/big, are placed after that, from large to small, each where most is
+    missing by then.
     """
     spark = grouped.sparkSession
     sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     limit = max(2.0, big * total)
-
-    def draw(s: str):
-        unit = (F.pmod(F.xxhash64("group_id", F.lit(s), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        return F.struct((-F.lit(float(shares[s])) / F.log(unit)).alias("w"), F.lit(s).alias("split"))
-
-    best = reduce(lambda a, b: F.when(a["w"] >= b["w"], a).otherwise(b), [draw(s) for s in sorted(shares)])
-    hashed = sizes.where(F.col("n") < limit).select("group_id", "n", best["split"].alias("split"))
-    lacking = {s: share * total for s, share in shares.items()}
-    for row in hashed.groupBy("split").agg(F.sum("n").alias("n")).collect():  # one row per split
-        lacking[row["split"]] -= row["n"]
+    small = sizes.where(F.col("n") < limit)
+    weights = dict(shares)
+    counts: dict[str, int] = {}
+    for _ in range(TUNINGS):
+        hashed = small.select("group_id", "n", _rendezvous(weights, seed).alias("split"))
+        counts = {r["split"]: r["n"] for r in hashed.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
+        those = sum(counts.values())
+        off = {s: counts.get(s, 0) - share * those for s, share in shares.items()}
+        if max(map(abs, off.values())) <= TOLERANCE * those:
+            break
+        weights = {s: w * shares[s] * those / max(1, counts.get(s, 0)) for s, w in weights.items()}
+    lacking = {s: share * total - counts.get(s, 0) for s, share in shares.items()}
     placed = []
     for row in sizes.where(F.col("n") >= limit).orderBy(F.col("n").desc(), "group_id").collect():  # at most 1/big rows
         to = max(lacking, key=lambda s: (lacking[s], s))
@@ -116,3 +122,14 @@ def assign(grouped: DataFrame, shares: dict[str, float], big: float = BIG, seed:
         lacking[to] -= row["n"]
     where = hashed.select("group_id", "split").unionByName(spark.createDataFrame(placed, "group_id long, split string"))
     return grouped.join(where, "group_id").select("unit_id", "group_id", "split")
+
+
+def _rendezvous(weights: dict[str, float], seed: int) -> Column:
+    """The split with the highest score -w / ln(u), u being a hash of group and split."""
+
+    def draw(s: str) -> Column:
+        unit = (F.pmod(F.xxhash64("group_id", F.lit(s), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        return F.struct((-F.lit(float(weights[s])) / F.log(unit)).alias("w"), F.lit(s).alias("split"))
+
+    best = reduce(lambda a, b: F.when(a["w"] >= b["w"], a).otherwise(b), [draw(s) for s in sorted(weights)])
+    return best["split"]
