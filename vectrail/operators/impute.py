@@ -94,7 +94,7 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
     numeric = [f for f in plan.fields if f.numeric]
     classes = [f for f in plan.fields if not f.numeric]
     rows = df.select(
-        plan.key,
+        F.col(plan.key).alias("_key"),
         *[f.observed().alias(f"o_{f.name}") for f in plan.fields],
         *[_id(f.group).alias(f"g_{f.name}") for f in plan.fields],
         *[finite(h).alias(f"h_{h}") for h in plan.helpers],
@@ -130,13 +130,13 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
             for b, x in zip(beta[1:], xs):
                 fit = fit + F.lit(float(b)) * x
             # The group's own spread, not the table's: a group with one value keeps it.
-            fit = fit + F.col(f"sd_{f.name}") * _normal(plan.key, f"{f.name}{step}")
+            fit = fit + F.col(f"sd_{f.name}") * _normal("_key", f"{f.name}{step}")
             guess = F.greatest(F.col(f"lo_{f.name}"), F.least(F.col(f"hi_{f.name}"), F.col(f"m_{f.name}") + fit))
             rows = rows.withColumn(f"x_{f.name}", F.when(seen, F.col(f"o_{f.name}")).otherwise(F.when(F.col(f"n_{f.name}") > 0, guess)))
         rows = cut(rows)
     for f in classes:
         rows = _classify(rows, f, numeric, plan)
-    out = [F.col(plan.key)]
+    out = [F.col("_key").alias(plan.key)]
     for f in plan.fields:
         value = F.col(f"x_{f.name}")
         out += [value.alias(f.name), (F.col(f"o_{f.name}").isNull() & value.isNotNull()).alias(f"{f.name}_filled")]
@@ -147,17 +147,17 @@ def _classify(rows: DataFrame, f: Field, numeric: list[Field], plan: Plan) -> Da
     """Class of each row lacking ``f``: group share times normal likelihood of its numbers."""
     xs = [f"x_{q.name}" for q in numeric] + [f"h_{h}" for h in plan.helpers]
     o, k = f"o_{f.name}", f"k_{f.name}"
-    stats = rows.where(F.col(o).isNotNull()).groupBy(F.col(o).alias("v")).agg(
+    stats = rows.where(F.col(o).isNotNull()).groupBy(F.col(o).alias("_v")).agg(
         *[F.avg(x).alias(f"a_{x}") for x in xs], *[F.coalesce(F.stddev_samp(x), F.lit(1.0)).alias(f"b_{x}") for x in xs]
     )
     several = rows.where(F.col(o).isNull() & (F.size(k) > 1))
-    choice = several.select(plan.key, *xs, F.explode(k).alias("e")).select(plan.key, *xs, "e.v", "e.c").join(stats, "v", "left")
-    score = F.log(F.col("c"))
+    choice = several.select("_key", *xs, F.explode(k).alias("_e")).select("_key", *xs, F.col("_e.v").alias("_v"), F.col("_e.c").alias("_c")).join(stats, "_v", "left")
+    score = F.log(F.col("_c"))
     for x in xs:
         b = F.greatest(F.col(f"b_{x}"), F.lit(1e-6))
         score = score + F.coalesce(-F.log(b) - F.pow((F.col(x) - F.col(f"a_{x}")) / b, 2) / 2, F.lit(0.0))
     # Gumbel noise fixed by key and class: the class is drawn from its posterior, which keeps the residual variation.
-    unit = (F.pmod(F.xxhash64(plan.key, "v", F.lit(f.name)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    best = choice.groupBy(plan.key).agg(F.max_by("v", score - F.log(-F.log(unit))).alias("drawn"))
+    unit = (F.pmod(F.xxhash64("_key", "_v", F.lit(f.name)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    best = choice.groupBy("_key").agg(F.max_by("_v", score - F.log(-F.log(unit))).alias("drawn"))
     only = F.when(F.size(k) == 1, F.element_at(k, 1)["v"])
-    return rows.join(best, plan.key, "left").withColumn(f"x_{f.name}", F.coalesce(F.col(o), only, F.col("drawn"))).drop("drawn")
+    return rows.join(best, "_key", "left").withColumn(f"x_{f.name}", F.coalesce(F.col(o), only, F.col("drawn"))).drop("drawn")
