@@ -58,6 +58,8 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
     ``units``: (unit_id, dataset_id, perturbation_label); ``held_out``: (dataset_id, label), labels
     whose targets are all tied within their dataset.
     """
+    units = units.select("unit_id", "dataset_id", "perturbation_label")
+    held_out = held_out.select("dataset_id", "label")
     labels = (
         units.select(F.col("perturbation_label").alias("label"), F.lit(1).alias("n"))
         .unionByName(held_out.select("label", F.lit(1).alias("n")))
