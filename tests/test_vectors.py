@@ -102,3 +102,13 @@ def test_distribution_needs_rows(spark):
     df = spark.createDataFrame(rows, "run string, part string, t array<double>, is_control boolean")
     got = {r.run: r for r in kernels.distribution_distances(df.withColumn("p", df.t), "run", "part", "t", "p", "is_control").collect()}
     assert got["r"].status == "ok" and got["r"].mmd_linear == pytest.approx(0, abs=1e-9) and got["s"].status == "unsupported"
+
+
+def test_nulls_stay_null(spark):
+    from pyspark.sql import functions as F
+
+    from vectrail.operators.relational import clip
+
+    df = spark.createDataFrame([(None, [1.0], None)], "a array<double>, b array<double>, x double")
+    r = df.select(vectors.cosine("a", "b").alias("c"), clip(F.col("x"), 0.0, 1.0).alias("k")).first()
+    assert r.c is None and r.k is None

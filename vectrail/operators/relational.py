@@ -159,7 +159,8 @@ def safe_ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` within [low, high]; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def log1p_or_zero(x: str) -> Column:

@@ -39,10 +39,11 @@ def norm(v: str | Column) -> Column:
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
-    """Cosine in [-1, 1]; 0 where the product of norms vanishes, 1 where both norms do."""
+    """Cosine in [-1, 1]; 0 where the product of norms vanishes, 1 where both norms do, null for a null vector."""
     na, nb = norm(a), norm(b)
     raw = F.when(na * nb > EPS, dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
-    return F.when((na <= EPS) & (nb <= EPS), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    bound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+    return F.when(na.isNotNull() & nb.isNotNull(), F.when((na <= EPS) & (nb <= EPS), F.lit(1.0)).otherwise(bound))
 
 
 def rmse(a: str | Column, b: str | Column) -> Column:
