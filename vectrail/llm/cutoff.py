@@ -20,14 +20,19 @@ from vectrail.session import cut, scratch
 from vectrail.tables import finite, group_key
 
 SKETCH_K = 1024
-#: Twice the sketch's normalised rank error at this size, 99.9 % sure; a miss is noticed and repaired.
-SLACK = 0.008
+#: Points at which a bracket's own sketch is asked when the bracket is narrowed.
+GRID = 64
 #: A source's bracket is ranked once it has at most so many distinct scores.
 MAX_BRACKET = 200_000
 
 _INF = float("inf")
 
 
+def slack(k: int) -> float:
+    """About three times the rank error of a sketch of size k; a bracket that misses is noticed and repaired."""
+    return min(1.0, 8.0 / k)
+
+
 def prepare(df: DataFrame, source: list[str], score: str, record: str) -> DataFrame:
     """(sid, record, score) of the rows that take part, written once for the passes."""
     return scratch(
@@ -48,10 +53,11 @@ def cutoffs(records: DataFrame, keep: float, k: int = SKETCH_K, max_bracket: int
             "sid",
             "n",
             F.ceil(F.col("n") * F.lit(keep) - F.lit(1e-9)).cast("long").alias("want"),
-            F.kll_sketch_get_quantile_double("s", F.lit(max(0.0, at - SLACK))).alias("lo"),
-            F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, at + SLACK))).alias("hi"),
+            F.kll_sketch_get_quantile_double("s", F.lit(max(0.0, at - slack(k)))).alias("lo"),
+            F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, at + slack(k)))).alias("hi"),
         )
     )
+    allowed = max_bracket
     while True:
         # Rows above the bracket; then the number of rows in it, and of distinct scores.
         joined = records.join(state, "sid")
@@ -62,28 +68,32 @@ def cutoffs(records: DataFrame, keep: float, k: int = SKETCH_K, max_bracket: int
         )
         state = cut(state.join(seen, "sid"))
         missed = (F.col("above") >= F.col("want")) | (F.col("above") + F.col("inside") < F.col("want"))
-        wide = ~missed & (F.col("kinds") > max_bracket)
+        wide = ~missed & (F.col("kinds") > allowed)
         bad, broad = state.agg(F.count_if(missed), F.count_if(wide)).first()
         if not bad and not broad:
             break
         # A bracket that missed is moved outwards; a broad one is narrowed by a sketch of its rows.
         inside = joined.where((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")))
-        inner = inside.groupBy("sid").agg(F.kll_sketch_agg_double("score", F.lit(k)).alias("s"))
+        grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+        inner = inside.groupBy("sid").agg(F.kll_sketch_agg_double("score", F.lit(k)).alias("s")).select(
+            "sid", F.kll_sketch_get_quantile_double("s", grid).alias("q")
+        )
         rel = 1.0 - (F.col("want") - F.col("above")) / F.col("inside")
-        slack = F.lit(SLACK)
+        at_grid = lambda x: F.element_at("q", F.greatest(F.lit(0), F.least(F.lit(GRID), x)).cast("int") + 1)
         bound = state.join(inner, "sid", "left").select(
             "sid",
             "n",
             "want",
             F.when(missed, F.when(F.col("above") >= F.col("want"), F.col("lo")).otherwise(F.lit(-_INF)))
-            .when(wide, F.kll_sketch_get_quantile_double("s", F.greatest(F.lit(0.0), rel - slack)))
+            .when(wide, at_grid(F.floor((rel - slack(k)) * GRID)))
             .otherwise(F.col("lo"))
             .alias("lo"),
             F.when(missed, F.when(F.col("above") >= F.col("want"), F.lit(_INF)).otherwise(F.col("hi")))
-            .when(wide, F.kll_sketch_get_quantile_double("s", F.least(F.lit(1.0), rel + slack)))
+            .when(wide, at_grid(F.ceil((rel + slack(k)) * GRID)))
             .otherwise(F.col("hi"))
             .alias("hi"),
         )
+        allowed *= 4  # so that the rounds end even where no bracket can be narrowed
         state = cut(bound)
     histogram = (
         records.join(state, "sid")
