@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.session import cut
+from vectrail.tables import group_key
 
 
 def null_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -61,44 +62,71 @@ def min_rank(keys: list[str], value: str) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(w))
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Rank from low to high within ``keys``, equal values sharing their mean rank."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
+def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` in ranges of (group, order), kept in the shared folder so that both passes see the same ranges."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.withColumn("_g", group_key(*keys) if keys else F.lit(0).cast("long"))
+    return cut(tagged.repartitionByRange(n, F.col("_g"), *order).withColumn("_part", F.spark_partition_id()))
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+def grouped_running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums within each group along ``order``, however large a group is.
 
+    A group may span many ranges: each range sums its own rows, and what the group
+    had in earlier ranges, one row a group and range, is added.  ``order`` should
+    end in a unique column.
+    """
+    parts = _ranged(df, keys, order)
+    per = parts.groupBy("_g", "_part").agg(*[F.sum(e).alias(f"_s_{c}") for c, e in sums.items()])
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_g", "_part", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy("_g", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(before, ["_g", "_part"])
+    out = out.withColumns({c: F.sum(e).over(inside) + F.col(f"_b_{c}") for c, e in sums.items()})
+    return out.drop("_g", "_part", *[f"_b_{c}" for c in sums])
 
-def _before(parts: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Totals of all ranges before each range: one row a range."""
-    per = parts.groupBy("_part").agg(*[e.alias(c) for c, e in sums.items()])
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are partitions
-    return F.broadcast(per.select("_part", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_b_{c}") for c in sums]))
+
+def grouped_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Row numbers within each group, however large a group is; ``order`` should end in a unique column."""
+    return grouped_running(df, keys, order, {name: F.lit(1).cast("long")})
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Row numbers over the whole table; ``order`` should end in a unique column."""
-    parts = _ranged(df, order)
-    w = Window.partitionBy("_part").orderBy(*order)
-    return (
-        parts.join(_before(parts, {"n": F.count(F.lit(1))}), "_part")
-        .withColumn(name, (F.row_number().over(w) + F.col("_b_n")).cast("long"))
-        .drop("_part", "_b_n")
-    )
+    return grouped_rank(df, [], order, name)
 
 
 def global_running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Running sums over the whole table: ``sums`` maps the new column to the summed one."""
-    parts = _ranged(df, order)
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts.join(_before(parts, {c: F.sum(x) for c, x in sums.items()}), "_part")
-    return out.withColumns({c: F.sum(x).over(w) + F.col(f"_b_{c}") for c, x in sums.items()}).drop(
-        "_part", *[f"_b_{c}" for c in sums]
+    return grouped_running(df, [], order, {c: F.col(x) for c, x in sums.items()})
+
+
+def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
+    """Rank from low to high within ``keys``, equal values sharing their mean rank; rows without a value have none."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = grouped_running(counts, keys, [F.col(value)], {"_upto": F.col("_n")})
+    ranks = upto.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(value) == F.col("_v")]
+    return df.join(ranks, on, "left").drop("_v", *[f"_k_{k}" for k in keys])
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """(keys, prob, quantile) by linear interpolation, exact, however large a group is."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else rows.agg(F.count(F.lit(1)).alias("_n"))
+    spot = lambda p: (F.col("_n") - 1) * F.lit(p) + 1
+    wanted = sizes.select(
+        group_key(*keys).alias("_gk") if keys else F.lit(0).cast("long").alias("_gk"), *keys, "_n",
+        F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), spot(p).alias("spot")) for p in probs])).alias("_w"),
+    ).select("_gk", *keys, "_w.prob", "_w.spot")
+    ranked = grouped_rank(rows, keys, [F.col("_v")], "_rank").select(
+        (group_key(*keys) if keys else F.lit(0).cast("long")).alias("_rk"), "_rank", "_v"
     )
+    near = F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))
+    asked = wanted.withColumn("_at", F.explode(near))
+    got = asked.join(ranked, (F.col("_gk") == F.col("_rk")) & (F.col("_at") == F.col("_rank")))
+    weight = F.when(F.col("spot") == F.col("_at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("spot") - F.col("_at")))
+    return got.groupBy("_gk", *keys, "prob").agg(F.sum(weight * F.col("_v")).alias("quantile")).drop("_gk")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> DataFrame:
@@ -113,12 +141,12 @@ def benjamini_hochberg(df: DataFrame, p: str, order: list[str], alpha: float = 0
 
 def global_running_min(df: DataFrame, key: str, value: str) -> DataFrame:
     """Adds _min: the smallest ``value`` at this key or any greater one."""
-    parts = _ranged(df, [F.col(key).desc()])
+    parts = _ranged(df, [], [F.col(key).desc()])
     per = parts.groupBy("_part").agg(F.min(value).alias("m"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are partitions
     before = F.broadcast(per.select("_part", F.min("m").over(w).alias("_bm")))
     inside = Window.partitionBy("_part").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return parts.join(before, "_part").withColumn("_min", F.least(F.min(value).over(inside), "_bm")).drop("_part", "_bm")
+    return parts.join(before, "_part").withColumn("_min", F.least(F.min(value).over(inside), "_bm")).drop("_part", "_bm", "_g")
 
 
 def trapezoid(df: DataFrame, keys: list[str], x: str, y: str, tie: str, name: str = "area") -> DataFrame:
@@ -130,8 +158,7 @@ def trapezoid(df: DataFrame, keys: list[str], x: str, y: str, tie: str, name: st
 
 def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:
     """Bins between the n-quantiles (linear interpolation), closed on the right, empty ones dropped."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0]  # n + 1 numbers
-    edges = sorted(set(edges or []))
+    edges = sorted({r[0] for r in grouped_quantiles(df, [], value, [i / n for i in range(n + 1)]).select("quantile").collect()})  # n + 1 numbers
     bin_of = F.lit(0)
     for e in edges[1:-1]:
         bin_of = bin_of + F.when(F.col(value) > F.lit(e), 1).otherwise(0)

@@ -8,11 +8,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import components
-from vectrail.operators.relational import global_rank, global_running, log1p_or_zero
+from vectrail.operators.relational import global_rank, global_running, grouped_quantiles, grouped_rank, log1p_or_zero
 from vectrail.session import cut
 
 COVERAGES = (0.2, 0.4, 0.6, 0.8)
@@ -126,8 +126,8 @@ def capped_sample(df: DataFrame, most: int, stratum: str, key: str, seed: int =
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     take = F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(float(most)) * F.col("_n") / F.lit(float(n))))).cast("long")
-    w = Window.partitionBy(stratum).orderBy(order, key)
-    ranked = df.join(F.broadcast(sizes.withColumn("_take", take).drop("_n")), stratum).withColumn("_rn", F.row_number().over(w))
+    joined = df.join(sizes.withColumn("_take", take).drop("_n"), stratum)
+    ranked = grouped_rank(joined, [stratum], [order, F.col(key)], "_rn")
     return ranked.withColumn("_late", (F.col("_rn") > F.col("_take")).cast("int")).orderBy("_late", order, key).limit(most).drop("_rn", "_take", "_late")
 
 
@@ -286,7 +286,8 @@ def ablation_suite(df: DataFrame, ablations: list[str], estimators: tuple[str, .
 def conformal_scores(df: DataFrame, score: str = "confidence", quantile: float = 0.2) -> DataFrame:
     """Held rows scored by how far they exceed the train rows' nonconformity quantile."""
     off = 1 - F.coalesce(score, F.lit(0.0))
-    cutoff = df.where("NOT held").agg(F.percentile(off, quantile)).first()[0] or 0.0
+    row = grouped_quantiles(df.where("NOT held").select(off.alias("off")), [], "off", [quantile]).first()
+    cutoff = row["quantile"] if row else 0.0
     return df.where("held").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.lit(0.0), off - F.lit(cutoff)))))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import is_combination, normalize_label
-from vectrail.operators.relational import dominant_label
+from vectrail.operators.relational import dominant_label, grouped_rank
 from vectrail.operators.vectors import diagnostics
+from vectrail.tables import group_key
 
 TEST_SHARE, VALIDATION_SHARE, LABEL_SHARE = 0.15, 0.1765, 0.20
 
@@ -33,14 +34,18 @@ def _sizes(n: Column) -> tuple[Column, Column]:
 
 
 def random_part(df: DataFrame, unit: str, seed: int, stratum: str | None = None, among: list[str] | None = None) -> DataFrame:
-    """Adds ``part``: a random split within each stratum, separately for each value of ``among``."""
+    """Adds ``part``: a random split within each stratum, separately for each value of ``among``.
+
+    Strata are few and large, so rows are ranked in ranges, never a stratum in one task.
+    """
     keys = [*(among or []), *([stratum] if stratum else [])]
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(whole)
+    ranked = grouped_rank(df, keys, [hash_order(seed, unit), F.col(unit)], "_rn")
+    sizes = ranked.groupBy(group_key(*keys).alias("_k") if keys else F.lit(0).cast("long").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    here = ranked.withColumn("_k", group_key(*keys) if keys else F.lit(0).cast("long")).join(sizes, "_k")
+    n, rn = F.col("_n"), F.col("_rn")
     test, validation = _sizes(n)
-    rn = F.row_number().over(whole.orderBy(hash_order(seed, unit), unit))
     part = F.when(n < 3, F.lit("train")).when(rn <= test, F.lit("test")).when(rn <= test + validation, F.lit("validation")).otherwise(F.lit("train"))
-    return df.withColumn("part", part)
+    return here.withColumn("part", part).drop("_k", "_n", "_rn")
 
 
 def remaining_parts(df: DataFrame, unit: str, seed: int, held: Column, among: list[str] | None = None, stratum: str | None = None) -> DataFrame:
@@ -79,11 +84,10 @@ def combination_parts(df: DataFrame, unit: str, label: str, seed: int, control:
 
 def low_support_cutoff(df: DataFrame, support: str, among: list[str], unit: str) -> DataFrame:
     """(among, cutoff): the support at sorted position round(0.2 n), counted from one."""
-    w = Window.partitionBy(*among).orderBy(support, unit)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*among))
-    at = F.greatest(F.lit(1), F.bround(n * LABEL_SHARE))
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_at", at)
-    return ranked.where("_rn = _at").select(*among, F.col(support).alias("cutoff"))
+    sizes = df.groupBy(*among).agg(F.greatest(F.lit(1).cast("long"), F.bround(F.count(F.lit(1)) * LABEL_SHARE).cast("long")).alias("_at"))
+    ranked = grouped_rank(df.select(*among, support, unit), among, [F.col(support), F.col(unit)], "_rn")
+    joined = ranked.join(sizes, among) if among else ranked.join(F.broadcast(sizes))  # one row without groups
+    return joined.where("_rn = _at").select(*among, F.col(support).alias("cutoff"))
 
 
 def low_support_parts(df: DataFrame, unit: str, support: str, seed: int, among: list[str], control: str = "is_control") -> DataFrame:

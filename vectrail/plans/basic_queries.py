@@ -195,7 +195,8 @@ def a19(spark: SparkSession, root: str) -> DataFrame:
 
 @query("a21_quantile", f"SELECT split_family, {sql_r('quantile_cont(1 - confidence, 0.2)', 'cutoff')} FROM cases GROUP BY ALL", "cases")
 def a21(spark: SparkSession, root: str) -> DataFrame:
-    return rounded(v.cases(spark, root).groupBy("split_family").agg(F.percentile(1 - F.col("confidence"), 0.2).alias("cutoff")))
+    c = v.cases(spark, root).select("split_family", (1 - F.col("confidence")).alias("off"))
+    return rounded(rel.grouped_quantiles(c, ["split_family"], "off", [0.2]).select("split_family", F.col("quantile").alias("cutoff")))
 
 
 _FAMS = ["dataset_heldout_split", "external_holdout", "low_support_split", "random_split", "unseen_cell_state_split", "unseen_cell_type_or_lineage_split", "unseen_combination_split", "unseen_perturbation_split"]
@@ -248,7 +249,8 @@ def w5(spark: SparkSession, root: str) -> DataFrame:
 
 @query("w8_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderstatus, o_orderdate) - 1) / 2 AS rank FROM orders")
 def w8(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "orders").select("o_orderkey", rel.average_rank(["o_orderstatus"], "o_orderdate").alias("rank"))
+    o = table(spark, root, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return rel.with_average_rank(o, ["o_orderstatus"], "o_orderdate").select("o_orderkey", "rank")
 
 
 @query("w10_global_running", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey)::BIGINT AS running FROM orders")
