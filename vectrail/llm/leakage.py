@@ -227,14 +227,17 @@ def find_leaks(
     docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = BLOCK
 ) -> DataFrame:
     """(key, item_key, n_words): the items each document repeats, wholly or in part."""
-    listed = [(r[0], r[1]) for r in items.select(item_key, item_text).orderBy(item_key).toLocalIterator()]  # the stated query set
+    stated = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
+    blocks = max(1, -(-stated.count() // block))
+    numbered = stated.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     schema = f"k {kinds[0]}, i {kinds[1]}, n_words int"
     spark = docs.sparkSession
     found = None
-    for start in range(0, max(1, len(listed)), block):
-        sent = spark.sparkContext.broadcast(listed[start : start + block])
+    for b in range(blocks):
+        mine = [(r["i"], r["t"]) for r in numbered.where(F.col("b") == b).orderBy("i").collect()]  # one block, about BLOCK items
+        sent = spark.sparkContext.broadcast(mine)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = None

@@ -32,12 +32,11 @@ SKETCH_K = 1600
 
 def multiselect(values: DataFrame, percents: list[int], small: int = SMALL) -> DataFrame:
     """(gid, pct, n, value) of ``values`` (gid long, v double): the value at rank ceil(pct/100 * n)."""
-    spark = values.sparkSession
     data = scratch(values.select(F.col("gid").alias("rid"), "v"))
     sizes = data.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-    wanted = spark.createDataFrame([(int(p),) for p in percents], "pct int")
+    wanted = F.explode(F.array(*[F.lit(int(p)) for p in percents]))
     targets = cut(
-        sizes.crossJoin(F.broadcast(wanted)).select(  # a handful of constants, not rows of the input
+        sizes.select("rid", "n", wanted.alias("pct")).select(
             F.col("rid").alias("gid"),
             "pct",
             F.col("n").alias("total"),
