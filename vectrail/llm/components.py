@@ -35,12 +35,12 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = both.select("a", F.col("a").alias("b"))
-    clusters = cut(both.unionByName(own).distinct().select(F.col("a").alias("node"), F.col("b").alias("member")))
+    clusters = scratch(both.unionByName(own).distinct().select(F.col("a").alias("node"), F.col("b").alias("member")))
     seen = None
     while True:
         least = clusters.groupBy("node").agg(F.min("member").alias("least"))
         sent = clusters.join(least, "node")
-        clusters = cut(
+        clusters = scratch(
             sent.select(F.col("least").alias("node"), "member")
             .unionByName(sent.select(F.col("member").alias("node"), F.col("least").alias("member")))
             .distinct()
@@ -58,7 +58,7 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
     ``units``: (unit_id, dataset_id, perturbation_label); ``held_out``: (dataset_id, label), labels
     whose targets are all tied within their dataset.
     """
-    units = units.select("unit_id", "dataset_id", "perturbation_label")
+    units = scratch(units.select("unit_id", "dataset_id", "perturbation_label"))
     held_out = held_out.select("dataset_id", "label")
     labels = (
         units.select(F.col("perturbation_label").alias("label"), F.lit(1).alias("n"))
@@ -83,7 +83,7 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
     node = lambda name: F.xxhash64(F.col("dataset"), name)
     first = F.element_at("names", 1)
     edges = sets.select(node(first).alias("a"), F.explode("names").alias("n"), "dataset").select("a", F.xxhash64("dataset", "n").alias("b"))
-    roots = cut(hash_to_min(edges.distinct()))
+    roots = scratch(hash_to_min(edges.distinct()))
     placed = tied.select("unit_id", node(first).alias("node")).join(roots, "node").select("unit_id", "root")
     smallest = placed.groupBy("root").agg(F.min("unit_id").alias("group_id"))
     alone = keyed.where("dataset IS NULL OR names IS NULL OR size(names) = 0")
