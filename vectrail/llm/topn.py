@@ -30,7 +30,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, item: str, n: int, bands
     rows = df.select(group_key(*groups).alias("gid"), F.col(item).alias("item"), finite(score).alias("score")).where(
         "score IS NOT NULL"
     )
-    rows = cut(rows)
+    rows = scratch(rows)
     edges = rows.agg(
         F.percentile_approx("score", F.array(*[F.lit(1.0 - b) for b in bands]), F.lit(2000)).alias("e")
     ).first()[0]
