@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.session import cut
+from vectrail.session import scratch
 from vectrail.tables import group_key
 
 
@@ -66,7 +66,7 @@ def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``df`` in ranges of (group, order), kept in the shared folder so that both passes see the same ranges."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = df.withColumn("_g", group_key(*keys) if keys else F.lit(0).cast("long"))
-    return cut(tagged.repartitionByRange(n, F.col("_g"), *order).withColumn("_part", F.spark_partition_id()))
+    return scratch(tagged.repartitionByRange(n, F.col("_g"), *order).withColumn("_part", F.spark_partition_id()))
 
 
 def grouped_running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:

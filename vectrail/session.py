@@ -62,3 +62,10 @@ def scratch(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this library's scratch tables; call it once no frame built on them is needed any more."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/vectrail")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
