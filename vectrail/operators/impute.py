@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import normalize_label
-from vectrail.session import cut
-from vectrail.tables import finite
+from vectrail.session import scratch
+from vectrail.tables import finite, group_key
 
 
 @dataclass(frozen=True)
@@ -53,10 +53,6 @@ class Plan:
     rounds: int = 2
 
 
-def _id(columns: list[str]) -> Column:
-    return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
-
-
 def _normal(key: str, salt: str) -> Column:
     """A standard normal draw fixed by the key, by the Box-Muller formula."""
     u = [
@@ -66,6 +62,16 @@ def _normal(key: str, salt: str) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u[0])) * F.cos(F.lit(2 * np.pi) * u[1])
 
 
+def _shown(f: Field) -> list[Column]:
+    o = f"o_{f.name}"
+    if not f.numeric:
+        return [F.count(o).alias(f"n_{f.name}")]
+    return [
+        F.count(o).alias(f"n_{f.name}"), F.avg(o).alias(f"m_{f.name}"), F.min(o).alias(f"lo_{f.name}"), F.max(o).alias(f"hi_{f.name}"),
+        F.coalesce(F.stddev_samp(o), F.lit(0.0)).alias(f"sd_{f.name}"),
+    ]
+
+
 def _solve(df: DataFrame, y: Column, xs: list[Column], keep: Column) -> tuple[np.ndarray, float]:
     """Ridge-damped least squares of y on 1 and xs, from one aggregate over all rows kept."""
     terms = [F.lit(1.0), *xs]
@@ -93,33 +99,32 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
     """``df``'s key with every field of the plan filled and marked, and whether it could be filled."""
     numeric = [f for f in plan.fields if f.numeric]
     classes = [f for f in plan.fields if not f.numeric]
+    groups = {tuple(f.group): f"g_{i}" for i, f in enumerate({tuple(f.group): f for f in plan.fields}.values())}
     rows = df.select(
         F.col(plan.key).alias("_key"),
         *[f.observed().alias(f"o_{f.name}") for f in plan.fields],
-        *[_id(f.group).alias(f"g_{f.name}") for f in plan.fields],
+        *[group_key(*g).alias(name) for g, name in groups.items()],
         *[finite(h).alias(f"h_{h}") for h in plan.helpers],
     )
-    # What each group shows of each field: one row a group, joined back; hot groups are combined before the shuffle.
-    for f in plan.fields:
-        o, g = f"o_{f.name}", f"g_{f.name}"
-        if f.numeric:
-            shown = rows.groupBy(g).agg(
-                F.count(o).alias(f"n_{f.name}"), F.avg(o).alias(f"m_{f.name}"), F.min(o).alias(f"lo_{f.name}"),
-                F.max(o).alias(f"hi_{f.name}"), F.coalesce(F.stddev_samp(o), F.lit(0.0)).alias(f"sd_{f.name}"),
-            )
-        else:
-            counts = rows.where(F.col(o).isNotNull()).groupBy(g, o).agg(F.count(F.lit(1)).alias("c"))
-            shown = counts.groupBy(g).agg(
-                F.sum("c").alias(f"n_{f.name}"),
-                F.sort_array(F.collect_list(F.struct(F.col(o).alias("v"), F.col("c").alias("c")))).alias(f"k_{f.name}"),
+    rows = scratch(rows)
+    # What each group shows of its fields: one row a group, joined back; hot groups are combined before the shuffle.
+    for group, g in groups.items():
+        mine = [f for f in plan.fields if tuple(f.group) == group]
+        shown = rows.groupBy(g).agg(*[x for f in mine for x in _shown(f)])
+        for f in (f for f in mine if not f.numeric):
+            o = F.col(f"o_{f.name}")
+            counts = rows.where(o.isNotNull()).groupBy(g, o.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+            kinds = counts.groupBy(g).agg(
+                F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))).alias(f"k_{f.name}")
             )  # one entry per class of the group, not per row
-        rows = rows.join(shown, g, "left")
+            shown = shown.join(kinds, g, "left")
+        rows = rows.join(shown, g, "left").drop(g)
     middle = rows.agg(*[F.avg(f"h_{h}").alias(h) for h in plan.helpers], *[F.stddev_samp(f"h_{h}").alias(f"s_{h}") for h in plan.helpers]).first() if plan.helpers else None
     for h in plan.helpers:
         mean, spread = middle[h] or 0.0, middle[f"s_{h}"] or 1.0
         rows = rows.withColumn(f"h_{h}", F.coalesce((F.col(f"h_{h}") - F.lit(float(mean))) / F.lit(float(spread) or 1.0), F.lit(0.0)))
     # Start: the group's mean.
-    rows = cut(rows.withColumns({f"x_{f.name}": F.coalesce(f"o_{f.name}", f"m_{f.name}") for f in numeric}))
+    rows = scratch(rows.withColumns({f"x_{f.name}": F.coalesce(f"o_{f.name}", f"m_{f.name}") for f in numeric}))
     for step in range(plan.rounds if len(numeric) else 0):
         for f in numeric:
             away = lambda q: F.coalesce(F.col(f"x_{q.name}") - F.col(f"m_{q.name}"), F.lit(0.0))
@@ -133,7 +138,7 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
             fit = fit + F.col(f"sd_{f.name}") * _normal("_key", f"{f.name}{step}")
             guess = F.greatest(F.col(f"lo_{f.name}"), F.least(F.col(f"hi_{f.name}"), F.col(f"m_{f.name}") + fit))
             rows = rows.withColumn(f"x_{f.name}", F.when(seen, F.col(f"o_{f.name}")).otherwise(F.when(F.col(f"n_{f.name}") > 0, guess)))
-        rows = cut(rows)
+        rows = scratch(rows)
     for f in classes:
         rows = _classify(rows, f, numeric, plan)
     out = [F.col("_key").alias(plan.key)]
