@@ -21,12 +21,15 @@ def latest(df: DataFrame, key: str, columns: list[str], version: str = "ingested
 
     Rows equal in ``version`` are taken to be equal.  A null version loses to
     any other; rows with a null key cannot be identified and are left out.
-    Only ``key``, ``version`` and ``columns`` are read and shuffled.
+    Only ``key``, ``version`` and ``columns`` are read and shuffled.  Rows are
+    sent to their key unsorted: versions are few, so sorting before as well as after
+    the shuffle would buy nothing.
     """
     order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last())
     return (
         df.where(F.col(key).isNotNull())
         .select(key, version, *columns)
+        .repartition(F.col(key))
         .withColumn("_rn", F.row_number().over(order))
         .where("_rn = 1")
         .select(key, *columns)
