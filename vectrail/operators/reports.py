@@ -10,7 +10,8 @@ from vectrail.operators.relational import clip, first_per, mean_of, min_max_scal
 
 ANCHOR = "random_split"
 CONTROL_MODEL = "control_mean_baseline"
-# How grave each failure mode is; any other counts as 1.
+# How grave each failure mode is (any other counts as 1); so are the words for shifts, flags,
+# context signals and readings of difficulty below, with their thresholds.
 SEVERITY = {"transportable": 0, "below_transport_threshold": 1, "non_transportable": 1, "high_risk_failure": 2, "severe_failure": 3}
 
 

@@ -8,7 +8,6 @@ none, as in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,7 +32,8 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, set on the context if nobody set one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("VECTRAIL_SCRATCH")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not named:
         named = getattr(spark, "_vectrail_scratch", None) or tempfile.mkdtemp(prefix="vectrail-")
         spark._vectrail_scratch = named
