@@ -169,6 +169,27 @@ limits AS (
   SELECT split_family, max(confidence) AS cutoff, max(n) AS n FROM reach
   WHERE reached * 5 >= n * 4 GROUP BY split_family)"""
 
+_KEY = r"""regexp_replace(regexp_replace(regexp_replace(lower({c}), '[.]h5ad[^a-z0-9]*$', ''), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[^a-z0-9]+', '', 'g')"""
+
+#: The named targets of labels with misspelt stems set right: (label, names).
+_NAMED = r"""parts AS (
+  SELECT label, n, unnest(list_filter(regexp_extract_all(lower(label), '[a-z0-9]+(?:[-.][0-9]+)?'),
+    lambda t: t NOT IN ('only', 'single', 'singleton', 'ctrl', 'control', 'neg', 'negative', 'tcrlibrary', 'library', 'grna', 'sgrna',
+                        'na', 'nan', 'none', 'unknown', 'null') AND NOT regexp_full_match(t, '(pmj)?[0-9.-]+'))) AS t FROM labels),
+split AS (
+  SELECT label, n, regexp_replace(t, '[-.]?[0-9]+$', '') AS stem, regexp_replace(regexp_extract(t, '([0-9]+)$', 1), '^0+([0-9])', '\1') AS num FROM parts),
+stems AS (SELECT stem, sum(n) AS n FROM (SELECT DISTINCT label, n, stem, num FROM split) GROUP BY stem),
+repairs AS (
+  SELECT a.stem, b.stem AS other FROM stems a JOIN stems b ON a.stem <> b.stem AND length(a.stem) >= 4 AND length(b.stem) >= 4
+    AND abs(length(a.stem) - length(b.stem)) <= 1 AND (b.n > a.n OR (b.n = a.n AND b.stem < a.stem)) AND (a.n <= 2 OR b.n >= 8 * a.n)
+    AND damerau_levenshtein(a.stem, b.stem) <= 1
+  QUALIFY row_number() OVER (PARTITION BY a.stem ORDER BY b.n DESC, b.stem) = 1),
+named AS (SELECT label, list_sort(list(DISTINCT coalesce(other, stem) || num)) AS names FROM split LEFT JOIN repairs USING (stem) GROUP BY label)"""
+
+_UNITS = """units AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY ingested_at DESC) AS rn FROM make_splits
+                 WHERE unit_id IS NOT NULL) WHERE rn = 1 AND NOT is_control)"""
+
 SQL: dict[str, str] = {
     "p1_percentiles": f"""WITH {_LATEST}, v AS (
   SELECT split_family, dataset_id, cosine_similarity + 0.0 AS x FROM latest WHERE isfinite(cosine_similarity)),
@@ -182,6 +203,33 @@ SELECT split_family, dataset_id, pct, n, x AS value FROM r, p WHERE k = greatest
     "p2_cutoffs": f"""{_CUT} SELECT l.split_family, max(c.n)::BIGINT AS n, max(c.cutoff) AS cutoff,
   count(*) FILTER (WHERE l.confidence >= c.cutoff) AS n_kept, count(*) FILTER (WHERE l.confidence = c.cutoff) AS n_ties
 FROM labelled l JOIN limits c ON l.split_family IS NOT DISTINCT FROM c.split_family GROUP BY l.split_family""",
+    "p3_found": f"""WITH {_UNITS},
+labels AS (SELECT perturbation_label AS label, count(*) AS n FROM units WHERE perturbation_label IS NOT NULL GROUP BY ALL), {_NAMED},
+keyed AS (
+  SELECT unit_id, split_id, split_part, names, {_KEY.format(c="dataset_id")} AS dataset,
+    array_to_string(list_transform(regexp_extract_all(lower(reference_key), '[a-z]+|[0-9]+'), lambda r: regexp_replace(r, '^0+([0-9])', '\\1')), '-') AS reference
+  FROM units JOIN named ON label = perturbation_label)
+SELECT least(h.unit_id, t.unit_id) AS unit_id_a, greatest(h.unit_id, t.unit_id) AS unit_id_b FROM keyed h JOIN keyed t
+  ON h.split_id = t.split_id AND h.names = t.names AND h.dataset = t.dataset AND h.reference = t.reference
+WHERE h.split_part IN ('validation', 'test') AND t.split_part = 'train'""",
+    "p4_found": f"""WITH RECURSIVE {_UNITS},
+held AS (
+  SELECT dataset_scope, heldout_target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC) AS rn FROM run_baseline
+    WHERE run_id IS NOT NULL) WHERE rn = 1 AND split_family = 'unseen_combination_split'),
+labels AS (SELECT label, count(*) AS n FROM (SELECT perturbation_label AS label FROM units UNION ALL SELECT heldout_target FROM held) WHERE label IS NOT NULL GROUP BY ALL),
+{_NAMED},
+keyed AS (SELECT unit_id, {_KEY.format(c="dataset_id")} AS dataset, names FROM units JOIN named ON label = perturbation_label),
+sets AS (
+  SELECT DISTINCT dataset, names FROM keyed WHERE dataset IS NOT NULL
+  UNION SELECT {_KEY.format(c="dataset_scope")}, names FROM held JOIN named ON label = heldout_target WHERE dataset_scope IS NOT NULL),
+edges AS (
+  SELECT DISTINCT dataset || '|' || names[1] AS a, dataset || '|' || b AS b FROM (SELECT dataset, names, unnest(names) AS b FROM sets)),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, root) AS (SELECT a, a FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+placed AS (SELECT unit_id, root FROM keyed JOIN roots ON node = dataset || '|' || names[1]),
+grouped AS (SELECT unit_id, min(unit_id) OVER (PARTITION BY root) AS group_id FROM placed)
+SELECT group_id, unit_id FROM grouped WHERE unit_id <> group_id""",
     "p6_found": f"""WITH {_LATEST} SELECT case_id FROM (
   SELECT case_id, row_number() OVER (PARTITION BY model, split_family, dataset_id, seed
                                      ORDER BY cosine_similarity + 0.0 DESC, case_id) AS place
