@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import normalize_label
-from vectrail.session import scratch
+from vectrail.session import release, scratch
 from vectrail.tables import finite, group_key
 
 
@@ -106,7 +106,7 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
         *[group_key(*g).alias(name) for g, name in groups.items()],
         *[finite(h).alias(f"h_{h}") for h in plan.helpers],
     )
-    rows = scratch(rows)
+    first = rows = scratch(rows)
     # What each group shows of its fields: one row a group, joined back; hot groups are combined before the shuffle.
     for group, g in groups.items():
         mine = [f for f in plan.fields if tuple(f.group) == group]
@@ -124,8 +124,10 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
         mean, spread = middle[h] or 0.0, middle[f"s_{h}"] or 1.0
         rows = rows.withColumn(f"h_{h}", F.coalesce((F.col(f"h_{h}") - F.lit(float(mean))) / F.lit(float(spread) or 1.0), F.lit(0.0)))
     # Start: the group's mean.
-    rows = scratch(rows.withColumns({f"x_{f.name}": F.coalesce(f"o_{f.name}", f"m_{f.name}") for f in numeric}))
+    old, rows = first, scratch(rows.withColumns({f"x_{f.name}": F.coalesce(f"o_{f.name}", f"m_{f.name}") for f in numeric}))
+    release(old)
     for step in range(plan.rounds if len(numeric) else 0):
+        base = rows
         for f in numeric:
             away = lambda q: F.coalesce(F.col(f"x_{q.name}") - F.col(f"m_{q.name}"), F.lit(0.0))
             xs = [away(q) for q in numeric if q is not f] + [F.col(f"h_{h}") for h in plan.helpers]
@@ -138,7 +140,8 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
             fit = fit + F.col(f"sd_{f.name}") * _normal("_key", f"{f.name}{step}")
             guess = F.greatest(F.col(f"lo_{f.name}"), F.least(F.col(f"hi_{f.name}"), F.col(f"m_{f.name}") + fit))
             rows = rows.withColumn(f"x_{f.name}", F.when(seen, F.col(f"o_{f.name}")).otherwise(F.when(F.col(f"n_{f.name}") > 0, guess)))
-        rows = scratch(rows)
+        old, rows = base, scratch(rows)
+        release(old)
     for f in classes:
         rows = _classify(rows, f, numeric, plan)
     out = [F.col("_key").alias(plan.key)]

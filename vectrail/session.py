@@ -61,7 +61,17 @@ def scratch(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._vectrail_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the scratch table behind ``df``; for loops whose next round has already been written."""
+    path = getattr(df, "_vectrail_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
