@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import canonical_targets, dataset_key
-from vectrail.session import cut, scratch
+from vectrail.session import cut, release, scratch
 
 #: A component with at least this share of all units is placed by size, not by hash: at most 1/BIG of them.
 BIG = 0.0005
@@ -40,11 +40,12 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     while True:
         least = clusters.groupBy("node").agg(F.min("member").alias("least"))
         sent = clusters.join(least, "node")
-        clusters = scratch(
+        old, clusters = clusters, scratch(
             sent.select(F.col("least").alias("node"), "member")
             .unionByName(sent.select(F.col("member").alias("node"), F.col("least").alias("member")))
             .distinct()
         )
+        release(old)
         now = clusters.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "member"))).first()
         if now == seen:
             break

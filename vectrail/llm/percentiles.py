@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.session import cut, scratch
+from vectrail.session import cut, release, scratch
 from vectrail.tables import finite, group_key
 
 #: Ranges with at most so many rows are finished by an exact sort of the range.
@@ -91,7 +91,7 @@ def multiselect(values: DataFrame, percents: list[int], small: int = SMALL) -> D
             )
         )
         alive = targets.where("value IS NULL").select("rid").distinct()
-        data = scratch(
+        old, data = data, scratch(
             data.join(pivots, "rid", "left")
             .select(
                 F.when(F.col("v") < F.col("pivot"), child("l"))
@@ -102,6 +102,7 @@ def multiselect(values: DataFrame, percents: list[int], small: int = SMALL) -> D
             )
             .join(alive, "rid", "left_semi")
         )
+        release(old)
     still = targets.where("value IS NULL")
     ranked = data.join(still.select("rid").distinct(), "rid", "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("rid").orderBy("v")).cast("long")
