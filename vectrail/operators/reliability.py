@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -147,7 +148,7 @@ def classify_feature(name: str) -> str:
         return "identifier"
     if any(p in name for p in OUTCOME_PARTS):
         return "outcome"
-    return "deployment" if name in DEPLOYMENT else "other"
+    return "deployment" if name in DEPLOYMENT or name.startswith("bio_") else "other"
 
 
 def feature_spec(df: DataFrame, mode: str = "deployment") -> FeatureSpec:
@@ -271,18 +272,56 @@ def score_row(df: DataFrame, name: str, estimator: str, n_features: int, label:
     return classifier_scores(df, label, score).join(F.broadcast(profile)).select(*head, "*")  # one row each
 
 
-def ablation_suite(df: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200) -> DataFrame:
-    """The naive confidence and every ablation with every estimator, one row each."""
-    parts = cut(group_parts(df, "run_id", "example_id"))
-    spec = feature_spec(df)
-    out = score_row(parts.where("held").withColumn("score", F.coalesce("confidence", F.lit(0.0))), "naive_confidence", "naive_confidence", 1)
+def skipped(spec: FeatureSpec, ablation: str) -> bool:
+    """Whether an ablation has nothing to leave out: the one of pathway features, where there are none."""
+    return ablation == "no_pathway_features" and ablate(spec, ablation).columns == spec.columns
+
+
+def suite_scores(parts: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200) -> list[tuple[str, str, int, DataFrame]]:
+    """(ablation, estimator, number of features, held rows with ``score``): the naive confidence, then each that isn't skipped.
+
+    Ablations that leave the same features share one fit, which would come out the same.
+    """
+    spec = feature_spec(parts)
+    naive = parts.where("held").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
+    out, fitted = [("naive_confidence", "naive_confidence", 1, naive)], {}
     for a in ablations:
+        if skipped(spec, a):
+            continue
         mine = ablate(spec, a)
         for e in estimators:
-            out = out.unionByName(score_row(cut(fit_scores(parts, mine, e, trees=trees)), a, e, len(mine.columns)))
+            key = (e, *mine.columns)
+            if key not in fitted:
+                fitted[key] = cut(fit_scores(parts, mine, e, trees=trees))
+            out.append((a, e, len(mine.columns), fitted[key]))
     return out
 
 
+def ablation_suite(df: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200) -> DataFrame:
+    """The naive confidence and every ablation with every estimator, one row each; one row without scores for a skipped ablation."""
+    parts = cut(group_parts(df, "run_id", "example_id"))
+    spec, rows, scored, schema = feature_spec(df), [], {}, None
+    for a, e, n, held in suite_scores(parts, ablations, estimators, trees):
+        if id(held) not in scored:  # one row a fit, settled before the next: a union of all would be a plan of hundreds of exchanges
+            one = score_row(held, a, e, n)
+            schema, scored[id(held)] = schema or one.schema, tuple(one.first())[3:]
+        rows.append((a, e, n, *scored[id(held)], "completed", ""))
+    none = (None,) * (len(schema) - 3)
+    rows += [(a, "", 0, *none, "skipped", "optional biological support features were unavailable") for a in ablations if skipped(spec, a)]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    return df.sparkSession.createDataFrame(rows, f"{kinds}, status string, reason string")
+
+
+def prediction_rows(parts: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200) -> DataFrame:
+    """Every held row with its score, once for the naive confidence and for every ablation with every estimator."""
+    keep = ["split_family", "model", "signature_id", "run_id", "target_risk", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "failure_mode"]
+    rows = [
+        held.select("example_id", F.lit(a).alias("ablation"), F.lit(e).alias("estimator"), F.col("target_transportable").cast("int").alias("y_true"), "score", *keep)
+        for a, e, _, held in suite_scores(parts, ablations, estimators, trees)
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def conformal_scores(df: DataFrame, score: str = "confidence", quantile: float = 0.2) -> DataFrame:
     """Held rows scored by how far they exceed the train rows' nonconformity quantile."""
     off = 1 - F.coalesce(score, F.lit(0.0))

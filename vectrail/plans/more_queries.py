@@ -359,8 +359,7 @@ def r7(spark: SparkSession, root: str) -> DataFrame:
 @query("r14_prediction_rows")
 def r14(spark: SparkSession, root: str) -> DataFrame:
     parts = cut(rl.group_parts(_examples(spark, root), "run_id", "example_id"))
-    got = rl.fit_scores(parts, rl.feature_spec(parts.drop("held")), "logistic_regression")
-    return rounded(got.select("example_id", "run_id", F.col("target_transportable").cast("int").alias("y_true"), "target_risk", "score"))
+    return rounded(rl.prediction_rows(parts, list(rl.ABLATIONS)))
 
 
 @query("n9_retained_contrast", f"SELECT confidence >= 0.5::DOUBLE AS kept, count(*) AS n, {sql_r('avg(cosine_similarity)', 'cosine_similarity_mean')}, {sql_r('stddev_samp(cosine_similarity)', 'cosine_similarity_sd')}, {sql_r('avg(risk)', 'risk_mean')}, {sql_r('stddev_samp(risk)', 'risk_sd')} FROM cases WHERE confidence IS NOT NULL GROUP BY ALL", "cases")

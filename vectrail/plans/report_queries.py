@@ -181,7 +181,7 @@ def n7(spark: SparkSession, root: str) -> DataFrame:
 
 @query("r13_ablation_suite")
 def r13(spark: SparkSession, root: str) -> DataFrame:
-    return rl.ablation_suite(cut(_examples(spark, root)), ["full", "no_uncertainty_features"], ("logistic_regression", "random_forest"), trees=20)
+    return rl.ablation_suite(cut(_examples(spark, root)), list(rl.ABLATIONS))
 
 
 @query("n8_conformal_proxy")
