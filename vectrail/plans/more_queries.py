@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,10 +293,13 @@ def v25(spark: SparkSession, root: str) -> DataFrame:
 
 @query("d15_split_grid")
 def d15(spark: SparkSession, root: str) -> DataFrame:
-    s = v.signatures(spark, root)
-    grid = cp.split_grid(s, [0, 1])
-    wide = cp.heldout_grid(s, ["ds0", "ds1"], [0])
-    return grid.select("split_id", "signature_id", "part").unionByName(wide)
+    s = cut(v.signatures(spark, root).select("signature_id", "dataset_id", "perturbation_label", "is_control", "n_cells"))
+    seeds = [0, 1, 2]
+    held = sorted(r[0] for r in s.select("dataset_id").where("dataset_id IS NOT NULL").distinct().collect())
+    # Each split is settled before the next: together they are a plan of hundreds of exchanges.
+    grid = [cut(cp.split_grid(s, [seed], [family]).select("split_id", "signature_id", "part")) for family in cp.FAMILIES for seed in seeds]
+    wide = [cut(cp.heldout_grid(s, [name], [seed])) for name in held for seed in seeds]
+    return reduce(DataFrame.unionByName, grid + wide)
 
 
 @query("d14_split_status", "SELECT split_id, CASE WHEN b = 0 OR a = 0 THEN 'unsupported' ELSE 'ready' END AS status, CASE WHEN b = 0 THEN 'no test rows' WHEN a = 0 THEN 'no train rows' ELSE '' END AS reason FROM (SELECT split_id, count(*) FILTER (WHERE split_part = 'train' AND NOT is_control) AS a, count(*) FILTER (WHERE split_part = 'test' AND NOT is_control) AS b FROM units GROUP BY ALL)", "units")
