@@ -29,3 +29,12 @@ def test_pathway_ablation_runs_where_there_are_columns(spark, monkeypatch):
     df = spark.createDataFrame(rows, "example_id long, run_id string, confidence double, target_transportable int, target_risk double, bio_support double")
     got = [(r.n_features, r.status) for r in rl.ablation_suite(df, ["no_pathway_features"]).collect() if r.ablation == "no_pathway_features"]
     assert got == [(1, "completed")] * 2
+
+
+def test_sensitivity_refits_at_every_multiplier(spark, small, monkeypatch):
+    monkeypatch.setattr(rl, "fit_scores", lambda df, spec, e, **_: df.where("held").withColumn("score", F.lit(0.5)))
+    rows = QUERIES["n7_threshold_sensitivity"](spark, small).collect()
+    methods = [("naive_confidence", "naive_confidence")] + [(a, e) for a in ("full", "no_context_distance") for e in ("logistic_regression", "random_forest")]
+    assert {(r.threshold_multiplier, r.ablation, r.estimator) for r in rows} == {(m, *x) for m in (0.6, 0.7, 0.8, 0.9) for x in methods} and len(rows) == 20
+    rates = {r.multiplier: r.transportable_rate for r in QUERIES["n7_relative_threshold"](spark, small).collect()}
+    assert all(r.transportable_rate == rates[r.threshold_multiplier] and 0.8 <= r.coverage_at_0p8 < 0.85 and r.accuracy is not None for r in rows)

@@ -262,11 +262,12 @@ def classifier_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def score_row(df: DataFrame, name: str, estimator: str, n_features: int, label: str = "target_transportable", risk: str = "target_risk", score: str = "score", key: str = "example_id") -> DataFrame:
-    """One row with a method's classifier scores and the means of its selective profile."""
+def score_row(df: DataFrame, name: str, estimator: str, n_features: int, label: str = "target_transportable", risk: str = "target_risk", score: str = "score", key: str = "example_id", at: float | None = None) -> DataFrame:
+    """One row with a method's classifier scores and the means of its selective profile, and its profile at the coverage ``at``."""
+    here = [F.max(F.when(F.col("coverage") == at, F.col(c))).alias(f"{n}_at_{at}".replace(".", "p")) for c, n in (("observed", "coverage"), ("false_transportability_rate", "false_transportability_rate"))] if at is not None else []
     profile = selective_profile(df, label, risk, score, key).agg(
         F.avg("selective_risk").alias("mean_selective_risk"), F.avg("false_transportability_rate").alias("mean_false_transportability_rate"),
-        F.avg("abstention_gain").alias("mean_abstention_gain"),
+        F.avg("abstention_gain").alias("mean_abstention_gain"), *here,
     )
     head = [F.lit(name).alias("ablation"), F.lit(estimator).alias("estimator"), F.lit(n_features).alias("n_features")]
     return classifier_scores(df, label, score).join(F.broadcast(profile)).select(*head, "*")  # one row each
@@ -297,13 +298,13 @@ def suite_scores(parts: DataFrame, ablations: list[str], estimators: tuple[str,
     return out
 
 
-def ablation_suite(df: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200) -> DataFrame:
+def ablation_suite(df: DataFrame, ablations: list[str], estimators: tuple[str, ...] = ("logistic_regression", "random_forest"), trees: int = 200, at: float | None = None) -> DataFrame:
     """The naive confidence and every ablation with every estimator, one row each; one row without scores for a skipped ablation."""
     parts = cut(group_parts(df, "run_id", "example_id"))
     spec, rows, scored, schema = feature_spec(df), [], {}, None
     for a, e, n, held in suite_scores(parts, ablations, estimators, trees):
         if id(held) not in scored:  # one row a fit, settled before the next: a union of all would be a plan of hundreds of exchanges
-            one = score_row(held, a, e, n)
+            one = score_row(held, a, e, n, at=at)
             schema, scored[id(held)] = schema or one.schema, tuple(one.first())[3:]
         rows.append((a, e, n, *scored[id(held)], "completed", ""))
     none = (None,) * (len(schema) - 3)

@@ -179,6 +179,21 @@ def n7(spark: SparkSession, root: str) -> DataFrame:
     return rounded(grid.groupBy("multiplier").agg(F.count(F.lit(1)).alias("n"), F.avg(kept.cast("int")).alias("transportable_rate")))
 
 
+@query("n7_threshold_sensitivity")
+def n7_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """The suite refitted at every multiplier, beside the rate of ``n7_relative_threshold``, which is over all examples."""
+    rates = {r.multiplier: r.transportable_rate for r in n7(spark, root).collect()}
+    out = None
+    for m, rate in sorted(rates.items()):
+        got = rl.ablation_suite(cut(_examples(spark, root, m)), ["full", "no_context_distance"], at=0.8)
+        here = got.select(
+            F.lit(m).alias("threshold_multiplier"), "ablation", "estimator", F.lit(rate).alias("transportable_rate"), "accuracy", "roc_auc", "average_precision",
+            "mean_false_transportability_rate", "mean_selective_risk", "coverage_at_0p8", "false_transportability_rate_at_0p8",
+        )
+        out = here if out is None else out.unionByName(here)
+    return rounded(out)
+
+
 @query("r13_ablation_suite")
 def r13(spark: SparkSession, root: str) -> DataFrame:
     return rl.ablation_suite(cut(_examples(spark, root)), list(rl.ABLATIONS))
