@@ -38,3 +38,21 @@ def test_sensitivity_refits_at_every_multiplier(spark, small, monkeypatch):
     assert {(r.threshold_multiplier, r.ablation, r.estimator) for r in rows} == {(m, *x) for m in (0.6, 0.7, 0.8, 0.9) for x in methods} and len(rows) == 20
     rates = {r.multiplier: r.transportable_rate for r in QUERIES["n7_relative_threshold"](spark, small).collect()}
     assert all(r.transportable_rate == rates[r.threshold_multiplier] and 0.8 <= r.coverage_at_0p8 < 0.85 and r.accuracy is not None for r in rows)
+
+
+def test_forest_may_grow_as_deep_as_spark_allows(spark):
+    rows = [(i, f"run{i % 8}", float(2 ** (i // 8)), (i // 8) % 2, i % 4 == 3) for i in range(320)]
+    df = spark.createDataFrame(rows, "example_id long, run_id string, n_cells double, target_transportable int, held boolean")
+    seen = {}
+    real = rl.RandomForestClassifier
+
+    def spy(**kw):
+        seen.update(kw)
+        return real(**kw)
+
+    rl.RandomForestClassifier = spy
+    try:
+        assert rl.fit_scores(df, rl.FeatureSpec(["n_cells"], []), "random_forest", trees=2).count() == 80
+    finally:
+        rl.RandomForestClassifier = real
+    assert seen["maxDepth"] == 30 and seen["minInstancesPerNode"] == 5

@@ -212,7 +212,7 @@ def fit_scores(df: DataFrame, spec: FeatureSpec, estimator: str, label: str = "t
     if estimator == "logistic_regression":
         model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", regParam=1.0 / n, standardization=False, maxIter=200, probabilityCol="_p")
     elif estimator == "random_forest":
-        model = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w", numTrees=trees, minInstancesPerNode=5, maxDepth=12, seed=7, probabilityCol="_p")
+        model = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=7, probabilityCol="_p")
     else:
         raise ValueError(f"unknown estimator {estimator}")
     fitted = Pipeline(stages=[*stages, model]).fit(train)
