@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import (
-    canonical_targets, components, dataset_key, is_combination, normalize_label, reference_key, spelling_repairs, targets,
+    canonical_targets, components, dataset_key, is_combination, normalize_label, reference_key, one_slip, spelling_repairs, targets,
 )
 
 
@@ -49,9 +49,9 @@ def test_targets(spark, label, want):
 
 
 def test_repairs(spark):
-    stems = [("dosuroko", 40), ("dosurko", 1), ("dosuorko", 1), ("dosurokoo", 1), ("dosuriko", 3), ("pelobuna", 40), ("abc", 1), ("abd", 9), ("dosuroka", 20)]
+    stems = [("dosuroko", 40), ("dosurko", 1), ("dosuorko", 1), ("dosurokoo", 1), ("dosuriko", 3), ("pelobuna", 40), ("abc", 1), ("abd", 9), ("ab", 1), ("h2ax", 9), ("h3ax", 1), ("dosuroka", 20)]
     got = {r.stem: r.repaired for r in spelling_repairs(spark.createDataFrame(stems, "stem string, n long")).collect()}
-    assert got == {"dosurko": "dosuroko", "dosuorko": "dosuroko", "dosurokoo": "dosuroko", "dosuriko": "dosuroko"}
+    assert got == {"dosurko": "dosuroko", "dosuorko": "dosuroko", "dosurokoo": "dosuroko", "dosuriko": "dosuroko", "abc": "abd"}
 
 
 def test_canonical_targets(spark):
@@ -59,3 +59,10 @@ def test_canonical_targets(spark):
     got = {r.label: r.names for r in canonical_targets(spark.createDataFrame(labels, "label string, n long")).collect()}
     assert got["DOSUROKO1_PELOBUNA2"] == got["pelobuna2; dosurko-1"] == ["dosuroko1", "pelobuna2"]
     assert got["DOSUROKO2"] == ["dosuroko2"] and "control" not in got
+
+
+def test_one_slip(spark):
+    rows = [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "abcdd", True), ("abcd", "abxd", True), ("abcd", "acbd", True), ("abcd", "bacd", True), ("abcd", "abdc", True),
+            ("abcd", "dbca", False), ("abcd", "badc", False), ("abcd", "ab", False), ("a1b", "a2b", False), ("", "a", True), ("x" * 30000 + "ab", "x" * 30000 + "ba", True), (None, "a", None)]
+    got = spark.createDataFrame(rows, "x string, y string, want boolean").withColumn("got", one_slip("x", "y")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -92,7 +92,20 @@ def targets(x: str | Column) -> Column:
     )
 
 
-def spelling_repairs(stems: DataFrame, shortest: int = 4) -> DataFrame:
+def one_slip(x: str | Column, y: str | Column) -> Column:
+    """True where two spellings differ by one letter changed, dropped or added, or by two neighbours swapped.
+
+    A digit is no letter: spellings whose digits differ are not one slip apart.
+    """
+    x, y = _col(x), _col(y)
+    first = F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p != q), True).cast("int")
+    swapped = F.concat(F.substring(x, F.lit(1), first - 1), F.substring(x, first + 1, F.lit(1)), F.substring(x, first, F.lit(1)), F.substring(x, first + 2, F.length(x))) == y
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    near = (F.levenshtein(x, y, 1) >= 0) | ((F.length(x) == F.length(y)) & (first > 0) & swapped)
+    return (digits(x) == digits(y)) & near
+
+
+def spelling_repairs(stems: DataFrame, shortest: int = 3) -> DataFrame:
     """(stem, repaired) for stems that are one slip away from a better attested stem.
 
     ``stems`` has (stem, n).  A slip is one letter changed, dropped, added or two
@@ -117,17 +130,7 @@ def spelling_repairs(stems: DataFrame, shortest: int = 4) -> DataFrame:
         )
         .select(F.col("a.stem").alias("stem"), F.col("b.stem").alias("other"), F.col("b.n").alias("n"))
     )
-    swapped = F.exists(
-        F.sequence(F.lit(1), F.length("stem") - 1),
-        lambda i: F.concat(
-            F.substring("stem", F.lit(1), i - 1),
-            F.substring(F.col("stem"), i + 1, F.lit(1)),
-            F.substring(F.col("stem"), i, F.lit(1)),
-            F.substring(F.col("stem"), i + 2, F.length("stem")),
-        )
-        == F.col("other"),
-    )
-    near = pairs.where((F.levenshtein("stem", "other") <= 1) | ((F.length("stem") == F.length("other")) & swapped))
+    near = pairs.where(one_slip("stem", "other"))
     best = Window.partitionBy("stem").orderBy(F.col("n").desc(), F.col("other"))
     return near.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("stem", F.col("other").alias("repaired"))
 
