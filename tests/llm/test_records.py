@@ -131,26 +131,52 @@ def test_chunks_survive_a_local_change():
     assert shared > 360
 
 
+def named(rows):
+    """Per text of ``rows`` (tid, names, n) its distinct chunks with their lengths, by the plain definition."""
+    bags = {}
+    for tid, names, _ in rows:
+        bags[tid] = {}
+        for line in {x for n in names for x in overlap._lines(n)}:
+            for d, size in zip(*overlap.chunk_batch([line.encode()])[1:]):
+                bags[tid][int(d)] = int(size)
+    return bags
+
+
+def slips_of(r, w):
+    i = r.randrange(len(w) - 1)
+    c = r.choice("abcdefgh")
+    return r.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+
 def test_overlap_shares_against_brute_force(spark):
     r = random.Random(4)
-    words = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
-    rows = [(f"s{i % 2}", i, "|".join(sorted(r.sample(words, 4))), i % 3 != 0, i % 3 != 1) for i in range(120)]
-    classes = spark.createDataFrame(rows, "split string, cls long, text string, train boolean, held boolean")
-    for least in (0.5, 0.8):
-        got = {(x.a, x.b): round(x.share, 9) for x in overlap.overlaps(classes, least).collect()}
-        bags = {}
-        for s, c, t, _, _ in rows:
-            bag = {}
-            for d, n in zip(*overlap.chunk_batch([t.encode()])[1:]):
-                bag[int(d)] = bag.get(int(d), 0) + int(n)
-            bags[c] = bag
-        want = {}
-        for (s, a, ta, _, ha), (q, b, tb, trb, _) in itertools.product(rows, rows):
-            if s == q and ha and trb:
-                share = sum(n for d, n in bags[a].items() if d in bags[b]) / sum(bags[a].values())
-                if share >= least - 1e-9:
-                    want[a, b] = round(share, 9)
-        assert got == want
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.choice([3, 8, 90]))) for _ in range(12)]
+    words += [slips_of(r, w) for w in words]
+    rows = [(i, sorted({f"{r.choice(words)}:{r.choice(['', '1'])}" for _ in range(r.choice([1, 2, 3]))}), r.randrange(1, 9)) for i in range(150)]
+    texts = spark.createDataFrame(rows, "tid long, names array<string>, n long")
+    need = {x.tid: x.need for x in overlap.chunked(texts).collect()}
+    got = {(x.a, x.b): round(x.share, 9) for x in overlap.overlaps(texts).collect()}
+    bags, want = named(rows), {}
+    for (a, _, na), (b, _, nb) in itertools.product(rows, rows):
+        shared = sum(n for d, n in bags[a].items() if d in bags[b])
+        if (nb, -b) >= (na, -a) and shared >= max(need[a], need[b]):
+            want[a, b] = round(shared / sum(bags[a].values()), 9)
+    assert got == want
+
+
+def test_every_slip_shares_enough(spark):
+    """Recall of the candidates: no slip of any kind, in names of any length, is lost."""
+    r = random.Random(9)
+    rows, pairs = [], set()
+    for i in range(0, 1200, 2):
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.choice([3, 4, 8, 30, 64]))) for _ in range(r.choice([1, 1, 2, 3]))]
+        one = [f"{x}:{k}" for k, x in enumerate(w)]
+        other = [f"{slips_of(r, w[0])}:0", *one[1:]]
+        if len({x.split(":")[0] for x in [*one, *other]}) > len(w):
+            rows += [(i, sorted(one), 5), (i + 1, sorted(other), 1)]
+            pairs.add((i + 1, i))
+    got = {(x.a, x.b): x.share for x in overlap.overlaps(spark.createDataFrame(rows, "tid long, names array<string>, n long")).collect() if x.a != x.b}
+    assert pairs <= set(got) and sum(0 < got[p] < 1 for p in pairs) > 0.95 * len(pairs)
 
 
 UNITS = "unit_id long, split_id string, split_part string, dataset_id string, reference_key string, perturbation_label string, label string, names int"
@@ -171,13 +197,39 @@ def units(spark):
 
 
 def test_same_units_across_splits(spark):
-    m, c, p = overlap.cross_split(units(spark))
-    got = {(r.unit_id_a, r.unit_id_b) for r in overlap.same_units(m, c, p).collect()}
+    m, p = overlap.cross_split(units(spark))
+    got = {(r.unit_id_a, r.unit_id_b) for r in overlap.same_units(m).collect()}
     assert got == {(1, 2), (1, 8), (2, 10), (8, 10)}
-    rep = {(r.split_id, r.dataset): r for r in overlap.report(m, c, p).collect()}
-    assert rep["s", "foo1"].n_same == 2 and rep["s", "foo1"].n_held == 4
-    m, c, p = overlap.cross_split(units(spark).limit(0))
-    assert overlap.same_units(m, c, p).count() == 0
+    rep = {(r.split_id, r.dataset): r for r in overlap.report(m).collect()}
+    assert (rep["s", "foo1"].n_met, rep["s", "foo1"].n_held, rep["s", "foo1"].n_pairs) == (2, 5, 4) and rep["s", None].n_met == 0
+    share = {r.unit_id: r.share for r in overlap.shares(m, p).collect()}
+    assert share[8] == 1 and 0 < share[2] < 1 and share[3] == share[7] == share[11] == 0
+    m, p = overlap.cross_split(units(spark).limit(0))
+    assert overlap.same_units(m).count() == overlap.shares(m, p).count() == 0
+
+
+def test_without_chunks_nothing_is_found(spark, monkeypatch):
+    none = F.array().cast("array<long>")
+    monkeypatch.setattr(overlap, "chunked", lambda texts: texts.select("tid", "n", none.alias("keys"), F.lit(1).alias("need")))
+    m, _ = overlap.cross_split(units(spark))
+    assert overlap.same_units(m).count() == 0
+
+
+def test_two_misspellings_and_two_close_names(spark):
+    rows = [(i, "s", "train" if i % 2 else "test", "D", "r-1", w, "", 0) for i, w in enumerate(["GATUPLO1", "GATTUPELO1"] + ["GATUPELO1"] * 20 + ["MORINASU1"] * 30 + ["MORINASO1"] * 30)]
+    m, _ = overlap.cross_split(spark.createDataFrame(rows, UNITS))
+    got = {(r.unit_id_a, r.unit_id_b) for r in overlap.same_units(m).collect()}
+    word = {r[0]: r[5] for r in rows}
+    assert (0, 1) in got and len(got) == 11 * 11 + 15 * 15 * 2
+    assert not any({word[a], word[b]} == {"MORINASU1", "MORINASO1"} for a, b in got)
+
+
+def test_odd_and_very_long_labels(spark):
+    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(50_000))
+    rows = [(1, "s", "train", "D", "r", long, "", 0), (2, "s", "test", "D", "r", long[:400] + long[401:], "", 0), (3, "s", "test", "D", "r", "", "", 0), (4, "s", "test", "D", "r", ";;_", "", 0),
+            (5, "s", None, "D", "r", "ABCD1", "", 0), (6, "s", "train", "D", "r", "_".join(f"GEN{i}" for i in range(2000)), "", 0), (7, "s", "validation", "d", "R", "_".join(f"GEN{i}" for i in range(2000)[::-1]), "", 0)]
+    m, _ = overlap.cross_split(spark.createDataFrame(rows, UNITS))
+    assert {(r.unit_id_a, r.unit_id_b) for r in overlap.same_units(m).collect()} == {(1, 2), (6, 7)}
 
 
 # Components

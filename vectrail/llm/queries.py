@@ -66,12 +66,19 @@ _UNIT = ["split_id", "split_part", "dataset_id", "reference_key", "perturbation_
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    members, classes, pairs = overlap.cross_split(_units(spark, root, _UNIT))
-    return overlap.same_units(members, classes, pairs).select("unit_id_a", "unit_id_b")
+    members, _ = overlap.cross_split(_units(spark, root, _UNIT))
+    return overlap.same_units(members).select("unit_id_a", "unit_id_b")
 
 
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
-    return overlap.report(*overlap.cross_split(_units(spark, root, _UNIT)))
+    """Per split and dataset: held-out units, those met in train, and the pairs they make."""
+    members, _ = overlap.cross_split(_units(spark, root, _UNIT))
+    return overlap.report(members)
+
+
+def p3_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Per held-out unit the part of its record that a train record of its split holds."""
+    return overlap.shares(*overlap.cross_split(_units(spark, root, _UNIT)))
 
 
 def _groups(spark: SparkSession, root: str) -> DataFrame:
@@ -143,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_cutoffs": p2_cutoffs,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_shares": p3_shares,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p6_found": p6_found,
@@ -180,7 +188,7 @@ split AS (
   SELECT label, n, regexp_replace(t, '[-.]?[0-9]+$', '') AS stem, regexp_replace(regexp_extract(t, '([0-9]+)$', 1), '^0+([0-9])', '\1') AS num FROM parts),
 stems AS (SELECT stem, sum(n) AS n FROM (SELECT DISTINCT label, n, stem, num FROM split) GROUP BY stem),
 repairs AS (
-  SELECT a.stem, b.stem AS other FROM stems a JOIN stems b ON a.stem <> b.stem AND length(a.stem) >= 4 AND length(b.stem) >= 4
+  SELECT a.stem, b.stem AS other FROM stems a JOIN stems b ON a.stem <> b.stem AND length(a.stem) >= 3 AND length(b.stem) >= 3
     AND abs(length(a.stem) - length(b.stem)) <= 1 AND (b.n > a.n OR (b.n = a.n AND b.stem < a.stem)) AND (a.n <= 2 OR b.n >= 8 * a.n)
     AND damerau_levenshtein(a.stem, b.stem) <= 1
   QUALIFY row_number() OVER (PARTITION BY a.stem ORDER BY b.n DESC, b.stem) = 1),
@@ -190,6 +198,14 @@ _UNITS = """units AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY ingested_at DESC) AS rn FROM make_splits
                  WHERE unit_id IS NOT NULL) WHERE rn = 1 AND NOT is_control)"""
 
+#: Units with what they describe, apart from how it is written.
+_SAME = f"""WITH {_UNITS},
+labels AS (SELECT perturbation_label AS label, count(*) AS n FROM units WHERE perturbation_label IS NOT NULL GROUP BY ALL), {_NAMED},
+keyed AS (
+  SELECT unit_id, split_id, split_part, CASE WHEN len(names) > 0 THEN names END AS names, {_KEY.format(c="dataset_id")} AS dataset,
+    array_to_string(list_transform(regexp_extract_all(lower(reference_key), '[a-z]+|[0-9]+'), lambda r: regexp_replace(r, '^0+([0-9])', '\\1')), '-') AS reference
+  FROM units LEFT JOIN named ON label = perturbation_label)"""
+
 SQL: dict[str, str] = {
     "p1_percentiles": f"""WITH {_LATEST}, v AS (
   SELECT split_family, dataset_id, cosine_similarity + 0.0 AS x FROM latest WHERE isfinite(cosine_similarity)),
@@ -203,15 +219,14 @@ SELECT split_family, dataset_id, pct, n, x AS value FROM r, p WHERE k = greatest
     "p2_cutoffs": f"""{_CUT} SELECT l.split_family, max(c.n)::BIGINT AS n, max(c.cutoff) AS cutoff,
   count(*) FILTER (WHERE l.confidence >= c.cutoff) AS n_kept, count(*) FILTER (WHERE l.confidence = c.cutoff) AS n_ties
 FROM labelled l JOIN limits c ON l.split_family IS NOT DISTINCT FROM c.split_family GROUP BY l.split_family""",
-    "p3_found": f"""WITH {_UNITS},
-labels AS (SELECT perturbation_label AS label, count(*) AS n FROM units WHERE perturbation_label IS NOT NULL GROUP BY ALL), {_NAMED},
-keyed AS (
-  SELECT unit_id, split_id, split_part, names, {_KEY.format(c="dataset_id")} AS dataset,
-    array_to_string(list_transform(regexp_extract_all(lower(reference_key), '[a-z]+|[0-9]+'), lambda r: regexp_replace(r, '^0+([0-9])', '\\1')), '-') AS reference
-  FROM units JOIN named ON label = perturbation_label)
-SELECT least(h.unit_id, t.unit_id) AS unit_id_a, greatest(h.unit_id, t.unit_id) AS unit_id_b FROM keyed h JOIN keyed t
+    "p3_found": f"""{_SAME} SELECT least(h.unit_id, t.unit_id) AS unit_id_a, greatest(h.unit_id, t.unit_id) AS unit_id_b FROM keyed h JOIN keyed t
   ON h.split_id = t.split_id AND h.names = t.names AND h.dataset = t.dataset AND h.reference = t.reference
 WHERE h.split_part IN ('validation', 'test') AND t.split_part = 'train'""",
+    "p3_report": f"""{_SAME}, partners AS (
+  SELECT split_id, names, dataset, reference, count(*) AS c FROM keyed WHERE split_part = 'train' AND split_id IS NOT NULL GROUP BY ALL)
+SELECT h.split_id, h.dataset, count(*) AS n_held, count(p.c) AS n_met, coalesce(sum(p.c), 0)::BIGINT AS n_pairs
+FROM keyed h LEFT JOIN partners p ON h.split_id = p.split_id AND h.names = p.names AND h.dataset = p.dataset AND h.reference = p.reference
+WHERE h.split_part IN ('validation', 'test') AND h.split_id IS NOT NULL GROUP BY h.split_id, h.dataset""",
     "p4_found": f"""WITH RECURSIVE {_UNITS},
 held AS (
   SELECT dataset_scope, heldout_target FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC) AS rn FROM run_baseline
