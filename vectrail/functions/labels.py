@@ -15,7 +15,6 @@ CONTROL_LABELS = ["control", "NT", "WT", "MULTI_TARGET"]
 #: Full-width forms of the printable ASCII characters, and those characters.
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F))
-_WHITE = r"^[\s ﻿​]+|[\s ﻿​]+$"
 
 
 def _col(x: str | Column) -> Column:
@@ -23,7 +22,9 @@ def _col(x: str | Column) -> Column:
 
 
 def plain_lower(x: str | Column) -> Column:
-    return F.lower(F.translate(_col(x), _WIDE, _PLAIN))
+    """Lower case, full-width forms as plain ones; texts of one byte a letter hold none and are spared the look-up."""
+    x = _col(x)
+    return F.lower(F.when(F.octet_length(x) > F.char_length(x), F.translate(x, _WIDE, _PLAIN)).otherwise(x))
 
 
 def normalize_label(x: str | Column) -> Column:
@@ -59,8 +60,8 @@ def components(x: str | Column) -> Column:
 
 def dataset_key(x: str | Column) -> Column:
     """A dataset id without its typography: case, separators, file suffix, leading zeros."""
-    text = F.regexp_replace(plain_lower(x), _WHITE, "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\.h5ad$", ""), r"(?<![0-9])0+(?=[0-9])", "")
+    text = F.regexp_replace(plain_lower(x), r"\.h5ad[^\p{L}\p{N}]*$", "")
+    text = F.regexp_replace(text, r"(?<![0-9])0+(?=[0-9])", "")
     key = F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
     return F.when(key != "", key)
 

@@ -43,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path for a table of this library in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/vectrail/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -56,7 +61,7 @@ def scratch(df: DataFrame, *partition_by: str) -> DataFrame:
     value at a time.  Used where several later passes read parts of ``df``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vectrail/{uuid.uuid4().hex}"
+    path = new_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
