@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm import components, cutoff, leakage, overlap, percentiles, subjects, tokens, topn
+from vectrail.session import new_path
 from vectrail.tables import latest, table
 
 #: Where the public vocabulary lies; a parameter of the deployment, never part of this repository.
@@ -25,10 +26,25 @@ def p1_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return percentiles.percentiles(cases, ["split_family", "dataset_id"], "cosine_similarity", PERCENTS)
 
 
-def p1_days_combined(spark: SparkSession, root: str) -> DataFrame:
+def _stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all days, as stored and read back, and the cases they stand for."""
     cases = _cases(spark, root, ["split_family", "dataset_id", "cosine_similarity", "scored_at"])
-    days = percentiles.daily_sketches(cases, ["split_family", "dataset_id"], "cosine_similarity", "scored_at")
-    return percentiles.combine_days(days, ["split_family", "dataset_id"], PERCENTS)
+    path = new_path(spark)
+    percentiles.store_days(percentiles.daily_sketches(cases, ["split_family", "dataset_id"], "cosine_similarity", "scored_at"), path)
+    return percentiles.stored_days(spark, path), cases
+
+
+def p1_days_combined(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of all days from stored sketches of single days."""
+    return percentiles.combine_days(_stored(spark, root)[0], ["split_family", "dataset_id"], PERCENTS)
+
+
+def p1_days_bound(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the combined days keep within the bound of the rank error, by a count over all rows."""
+    days, cases = _stored(spark, root)
+    combined = percentiles.combine_days(days, ["split_family", "dataset_id"], PERCENTS)
+    checked = percentiles.rank_errors(combined, cases, ["split_family", "dataset_id"], "cosine_similarity")
+    return checked.select("split_family", "dataset_id", "pct", "n", (F.col("rank_error") <= percentiles.BOUND).alias("within"))
 
 
 def _labelled(spark: SparkSession, root: str) -> DataFrame:
@@ -146,6 +162,7 @@ def p10_composition(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p1_days_combined": p1_days_combined,
+    "p1_days_bound": p1_days_bound,
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
     "p3_found": p3_found,
@@ -214,6 +231,9 @@ r AS (
          count(*) OVER (PARTITION BY split_family, dataset_id) AS n FROM v),
 p AS (SELECT unnest([{", ".join(map(str, PERCENTS))}])::INTEGER AS pct)
 SELECT split_family, dataset_id, pct, n, x AS value FROM r, p WHERE k = greatest(1, (n * pct + 99) // 100)""",
+    "p1_days_bound": f"""WITH {_LATEST}, g AS (
+  SELECT split_family, dataset_id, count(*) AS n FROM latest WHERE isfinite(cosine_similarity) GROUP BY ALL)
+SELECT split_family, dataset_id, unnest([{", ".join(map(str, PERCENTS))}])::INTEGER AS pct, n, true AS within FROM g""",
     "p2_found": f"""{_CUT} SELECT l.case_id FROM labelled l JOIN limits c
   ON l.split_family IS NOT DISTINCT FROM c.split_family AND l.confidence >= c.cutoff""",
     "p2_cutoffs": f"""{_CUT} SELECT l.split_family, max(c.n)::BIGINT AS n, max(c.cutoff) AS cutoff,
