@@ -37,10 +37,28 @@ def test_uses_other_fields_and_keeps_spread(spark):
     assert len(set(fills)) > 400
     cov = sum((got[i].a - mean) * (truth[i] - mean) for i in filled)
     assert cov > 0
+    # What z and b explain is not drawn again: errors are those of two draws of the residual, a tenth of the spread.
+    assert (sum((got[i].a - truth[i]) ** 2 for i in filled) / 500) ** 0.5 < 0.012
     again = {r.id: r.a for r in impute(spark.createDataFrame(rows, SCHEMA).repartition(3), PLAN).collect()}
     assert max(abs(again[i] - got[i].a) for i in got) < 1e-6
 
 
+def test_classes_and_numbers_predict_each_other(spark):
+    rnd = random.Random(4)
+    rows, truth = [], {}
+    for i in range(3000):
+        c = rnd.choice("xy")
+        a = (0.2 if c == "x" else 0.6) + rnd.gauss(0, 0.02)
+        truth[i] = (a, c)
+        gap = rnd.random()
+        rows.append((i, "g", "h", None if gap < 0.2 else a, 0.0, None if 0.2 <= gap < 0.4 else c, 0.0, "", 0))
+    got = {r.id: r for r in impute(spark.createDataFrame(rows, SCHEMA), PLAN).collect()}
+    a_gaps = [i for i in got if got[i].a_filled]
+    c_gaps = [i for i in got if got[i].c_filled]
+    assert sum(abs(got[i].a - truth[i][0]) < 0.1 for i in a_gaps) > 0.98 * len(a_gaps)
+    assert sum(got[i].c == truth[i][1] for i in c_gaps) > 0.98 * len(c_gaps)
+
+
 def test_class_drawn_among_those_of_the_group(spark):
     rows = [(i, "g", "h" if i % 2 else "k", 0.1, 0.1, None if i % 7 == 0 else ("x" if i % 3 else "y") if i % 2 else "z", 1.0 * i, "", 0) for i in range(200)]
     for r in impute(spark.createDataFrame(rows, SCHEMA), PLAN).collect():
