@@ -287,3 +287,21 @@ def test_assignment_keeps_groups_and_shares(spark):
         assert abs(n - shares[s]) < 0.005
     assert components.assign(spark.createDataFrame([], "unit_id long, group_id long"), shares).count() == 0
     assert components.assign(spark.createDataFrame([(1, 1), (2, 1)], "unit_id long, group_id long"), shares).count() == 2
+
+
+def test_new_units_move_few_groups(spark):
+    r = random.Random(7)
+    rows = [(i, r.randrange(3000)) for i in range(20_000)]
+    shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    place = lambda rs: {x.group_id: x.split for x in components.assign(spark.createDataFrame(rs, "unit_id long, group_id long"), shares).select("group_id", "split").distinct().collect()}
+    before, after = place(rows), place(rows + [(50_000 + i, r.randrange(3300)) for i in range(400)])
+    assert sum(before[g] != after[g] for g in before) < 0.02 * len(before)
+
+
+def test_huge_groups_leave_the_shares_near(spark):
+    for big in ([6000], [3000, 2500], [1500, 1400, 1300, 1200]):
+        sizes = big + [7] * 600
+        rows = [(k * 10_000 + i, k) for k, n in enumerate(sizes) for i in range(n)]
+        got = components.assign(spark.createDataFrame(rows, "unit_id long, group_id long"), {"train": 0.7, "validation": 0.15, "test": 0.15}).toPandas()
+        assert got.groupby("group_id").split.nunique().max() == 1
+        assert abs((got.split == "train").mean() - 0.7) < 0.01 and abs((got.split == "test").mean() - 0.15) < 0.01

@@ -5,7 +5,7 @@ graph is one of targets: far smaller than the units, and its edges are stars, on
 per distinct set of targets, never all pairs.  Hash-to-min lets every node send
 its cluster to the cluster's smallest node and that node's name back to the
 others, as rows, until nothing changes.  Whole components are then given to
-splits by weighted rendezvous hashing.
+splits by weighted rendezvous hashing; none is placed by any other rule.
 
 Defined results: units without a dataset or a named target are groups of their
 own; a group of one keeps its unit's id; an empty table gives no row.
@@ -13,18 +13,19 @@ own; a group of one keeps its unit's id; an empty table gives no row.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import canonical_targets, dataset_key
-from vectrail.session import cut, release, scratch
+from vectrail.session import release, scratch
 
-#: A component with at least this share of all units is placed by size, not by hash: at most 1/BIG of them.
-BIG = 0.0005
-#: How often the hash's weights are tuned at most, and the deviation that is good enough.
-TUNINGS, TOLERANCE = 12, 0.0005
+#: How strongly a group leans to the larger side, per share of all units it holds.
+LEAN = 30.0
+#: Bins in which a threshold is looked for at once.
+BINS = 1024
 
 
 def hash_to_min(edges: DataFrame) -> DataFrame:
@@ -93,46 +94,73 @@ def groups(units: DataFrame, held_out: DataFrame) -> DataFrame:
     )
 
 
-def assign(grouped: DataFrame, shares: dict[str, float], big: float = BIG, seed: int = 0) -> DataFrame:
+def assign(grouped: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """(unit_id, group_id, split): whole groups, the splits' shares of units as near as the groups allow.
 
-    Most groups go by weighted rendezvous hashing; its weights are turned up or down
-    a few times, by one sum over the groups' sizes each, until the hashed shares
-    are as wanted.  Groups holding at least ``big`` of all units, of which there are
-    at most 1/big, are placed after that, from large to small, each where most is
-    missing by then.
+    Every group goes by weighted rendezvous hashing, first between the largest split and
+    the rest, then among the rest.  Of two sides the first one wins a group where its score
+    is higher, that is where the difference of the two hashed scores passes the difference
+    of the sides' weights; the weights are set where the first side's share of units comes
+    nearest to the wanted one (``_threshold``).  A group of a notable share of all units
+    leans towards the first side by ``LEAN`` times that share, so that it is rarely the one
+    that the threshold parts from the others.  A group's place depends on its id, its size
+    and the weights only: new units move no group but those next to a threshold.
     """
-    spark = grouped.sparkSession
-    sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    limit = max(2.0, big * total)
-    small = sizes.where(F.col("n") < limit)
-    weights = dict(shares)
-    counts: dict[str, int] = {}
-    for _ in range(TUNINGS):
-        hashed = small.select("group_id", "n", _rendezvous(weights, seed).alias("split"))
-        counts = {r["split"]: r["n"] for r in hashed.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
-        those = sum(counts.values())
-        off = {s: counts.get(s, 0) - share * those for s, share in shares.items()}
-        if max(map(abs, off.values())) <= TOLERANCE * those:
-            break
-        weights = {s: w * shares[s] * those / max(1, counts.get(s, 0)) for s, w in weights.items()}
-    lacking = {s: share * total - counts.get(s, 0) for s, share in shares.items()}
-    placed = []
-    for row in sizes.where(F.col("n") >= limit).orderBy(F.col("n").desc(), "group_id").collect():  # at most 1/big rows
-        to = max(lacking, key=lambda s: (lacking[s], s))
-        placed.append((row["group_id"], to))
-        lacking[to] -= row["n"]
-    where = hashed.select("group_id", "split").unionByName(spark.createDataFrame(placed, "group_id long, split string"))
-    return grouped.join(where, "group_id").select("unit_id", "group_id", "split")
-
-
-def _rendezvous(weights: dict[str, float], seed: int) -> Column:
-    """The split with the highest score -w / ln(u), u being a hash of group and split."""
-
-    def draw(s: str) -> Column:
-        unit = (F.pmod(F.xxhash64("group_id", F.lit(s), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        return F.struct((-F.lit(float(weights[s])) / F.log(unit)).alias("w"), F.lit(s).alias("split"))
-
-    best = reduce(lambda a, b: F.when(a["w"] >= b["w"], a).otherwise(b), [draw(s) for s in sorted(weights)])
-    return best["split"]
+    order = sorted(shares, key=lambda s: (-shares[s], s))
+    left = scratch(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
+    placed: list[DataFrame] = []
+    rest = sum(shares.values())
+    for split in order[:-1]:
+        total = left.agg(F.sum("n")).first()[0] or 0
+        scored = left.withColumn("score", _odds(split, seed) + F.lit(LEAN / max(1, total)) * F.col("n"))
+        limit = _threshold(scored, total * shares[split] / rest)
+        placed.append(scored.where(F.col("score") >= limit).select("group_id", F.lit(split).alias("split")))
+        left, rest = scored.where(F.col("score") < limit).select("group_id", "n"), rest - shares[split]
+    placed.append(left.select("group_id", F.lit(order[-1]).alias("split")))
+    return grouped.join(reduce(DataFrame.unionByName, placed), "group_id").select("unit_id", "group_id", "split")
+
+
+def _odds(split: str, seed: int) -> Column:
+    """The difference of two rendezvous scores -1 / ln(u), as logarithms, one hashed for the split and one for the rest."""
+
+    def score(side: str) -> Column:
+        unit = (F.pmod(F.xxhash64("group_id", F.lit(side), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        return -F.log(-F.log(unit))
+
+    return score(split) - score(f"not {split}")
+
+
+def _threshold(scored: DataFrame, want: float) -> float:
+    """The score from which on the groups' sizes sum up nearest to ``want``; from sums over ever finer bins."""
+    low, high = scored.agg(F.min("score"), F.max("score")).first()
+    if low is None:
+        return 0.0
+    above, low, high = 0, low, high + 1.0
+    while True:
+        width = (high - low) / BINS
+        inside = scored.where((F.col("score") >= F.lit(low)) & (F.col("score") < F.lit(high)))
+        bins = inside.groupBy(F.least(F.lit(BINS - 1), F.floor((F.col("score") - F.lit(low)) / F.lit(width))).alias("bin")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("score").alias("low"), F.max("score").alias("high")
+        )
+        rows = sorted(bins.collect(), key=lambda r: -r["bin"])  # BINS rows at most
+        for k, r in enumerate(rows):
+            if above + r["n"] >= want or k == len(rows) - 1:
+                break
+            above += r["n"]
+        if r["c"] == 1 or r["low"] == r["high"]:
+            # The last group goes where it leaves the sum nearer to what is wanted.
+            return r["low"] if above + r["n"] - want <= want - above else math.nextafter(r["high"], math.inf)
+        low, high = r["low"], math.nextafter(r["high"], math.inf)
+
+
+def balance(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(split, wanted, n_units, n_parted, within): of each split, whether its share misses the wanted one by the largest group at most."""
+    spark = assigned.sparkSession
+    each = assigned.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split"), F.max("split").alias("other"))
+    total, largest, parted = each.agg(F.sum("n"), F.max("n"), F.count_if(F.col("split") != F.col("other"))).first()
+    got = each.groupBy("split").agg(F.sum("n").alias("n"))
+    wanted = spark.createDataFrame(sorted(shares.items()), "split string, wanted double")
+    miss = F.abs(F.coalesce(F.col("n"), F.lit(0)) - F.col("wanted") * F.lit(total or 0))
+    return wanted.join(got, "split", "left").select(
+        "split", "wanted", F.lit(total or 0).cast("long").alias("n_units"), F.lit(parted).cast("long").alias("n_parted"), (miss <= F.lit(largest or 0)).alias("within")
+    )

