@@ -19,4 +19,4 @@ def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
     n = df.count()
     assert n == df.distinct().count()
-    assert n > 0 or name.startswith("p10")  # the smallest tables have a dozen labels, too few for any term
+    assert n > 0

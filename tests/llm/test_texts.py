@@ -232,11 +232,28 @@ def test_subjects_on_held_out_documents(spark):
 def test_subjects_without_labels_or_documents(spark):
     d = spark.createDataFrame(corpus(5)[0], "doc_id long, text string, id string, terms int")
     lab = spark.createDataFrame([], "doc_id long, subject string")
-    assert subjects.assign(d, "doc_id", "text", lab, sorted(TERMS)).count() == 0
+    got = {(r.doc_id, r.subject) for r in subjects.assign(d, "doc_id", "text", lab, sorted(TERMS)).collect()}
+    assert got and got <= {(k, s) for k, v in corpus(5)[1].items() for s in v}  # by the curated terms alone
+    assert subjects.assign(d, "doc_id", "text", lab, ["cookery"]).count() == 0
     some = spark.createDataFrame([(1, "software")], "doc_id long, subject string")
     assert subjects.assign(d.limit(0), "doc_id", "text", some, sorted(TERMS)).count() == 0
 
 
+def test_labels_speak_against_a_curated_term(spark):
+    docs = [(i, ". ".join(["The tumour of the day"] * 4 if i % 2 else ["A plain word here"] * 4), "", 0) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, id string, terms int")
+    lab = spark.createDataFrame([(i, "software" if i % 2 else "oncology") for i in range(60)], "doc_id long, subject string")
+    names = ["oncology", "software"]
+    terms, _ = subjects.fit(d, "doc_id", "text", lab, names)
+    assert "tumour*" not in terms.names and terms.subject[terms.names.index("tumour")] == 1
+    assert {r.subject for r in subjects.assign(d, "doc_id", "text", lab, names).where("doc_id % 2 = 1").collect()} == {"software"}
+
+
+def test_beginnings_of_words():
+    a = subjects.automaton(["immun*", "immune", "t cell*"])
+    assert subjects.find(a, "immunity immune t cellular immun".split()) == [0, 1, 2, 0]
+
+
 def test_longest_match_wins_and_neighbours_count():
     a = subjects.automaton(["cell", "t cell clone", "cell clone"])
     assert subjects.find(a, "the t cell clone cell".split()) == [1, 0]

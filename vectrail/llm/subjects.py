@@ -1,13 +1,15 @@
 """Subject areas of documents by weighted terms and a multi-pattern automaton.
 
-Terms (one to four words) are taken from hand-labelled documents: how much more
-often a term occurs under a subject than elsewhere decides whether it stands for
-it, and matching the labelled documents again removes terms that don't hold up.
-All terms go into one Aho-Corasick automaton that reads every document once,
-sentence by sentence, longest match first.  A term weighs its log odds times its
-rarity over all documents; a sentence's weight for a subject is normalised by the
-sentence's length and must pass a calibrated threshold; a document gets every
-subject to which it gives enough sentences.
+Curated terms (``CURATED``: beginnings of words that the scope notes stand for, in
+the languages of the corpus) are joined by terms of one to four words taken from
+hand-labelled documents: how much more often a term occurs under a subject than
+elsewhere decides whether it stands for it.  Matching the labelled documents again
+removes terms, curated ones too, that don't hold up.  All terms go into one
+Aho-Corasick automaton that reads every document once, sentence by sentence,
+longest match first.  A term weighs its log odds times its rarity over all
+documents; a sentence's weight for a subject is normalised by the sentence's
+length and must pass a calibrated threshold; a document gets every subject to
+which it gives ``ENOUGH`` sentences.
 
 Only the fit looks at a bounded sample: at most ``MAX_LABELLED`` labelled
 documents, those with the smallest hash of their id.  Counts, rarity and results
@@ -15,7 +17,7 @@ cover all documents, whole.
 
 Defined results: null and empty texts give no subject; labels with unknown
 subjects or for unknown documents are ignored, repeated ones count once;
-without labels nothing is assigned.
+without labels the curated terms alone assign, at the lowest threshold.
 """
 
 from __future__ import annotations
@@ -25,21 +27,35 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.text import _WORD, sentences
 from vectrail.session import cut, scratch
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 50_000
 LONGEST = 4
 #: A term must occur in so many labelled documents, this share of them under its subject, with this much evidence.
 MIN_DOCS, PURITY, EVIDENCE = 3, 0.65, 6.0
-#: Sentences a document gives to a subject; the lower one only if it fits the labels better by ``GAIN``.
-ENOUGH, GAIN = (3, 2), 0.01
+#: Sentences a document must give to a subject.
+ENOUGH = 3
 #: Thresholds tried for a sentence's weight.
 LEVELS = (0.25, 0.5, 1.0, 2.0)
+#: A curated term counts as if it had been seen in so many documents, this share of them under its subject.
+PRIOR_DOCS, PRIOR = 2.0, 0.9
+
+#: Curated terms by subject: beginnings of words without diacritics, in en, de, es and fr; `+` joins the words of a term,
+#: one at the end stands for the whole word.
+CURATED = {
+    "genomics": "genom transcri transkri promot enhancer exon chromatin cromatin locus sequenc sequenz secuenc codon nucleot allel methyl metil crispr plasmid guide+librar guide+rna read+depth",
+    "statistics": "statist estadist regres variance varianz covarian calibr kalibr probabil wahrscheinl quantil likelihood bootstrap permut confidence+interval konfidenz correlat korrelat residu outlier stichprob hypothes standard+deviat sample+size null+distribut posterior+ p+value+ degree+of+freedom error+rate skew shrinkage",
+    "software": "softwar compil kompil repositor unit+test memory+leak thread+pool release+branch deploy server cache container+image refactor debug regression+test pull+request merge+request build+job schnittstell programm api+ stack+trace null+pointer race+condition rollback hotfix scheduler linter source+code quelltext codigo+fuente code+source versionsverwalt",
+    "immunology": "immun inmun antigen antikor anticorp anticuerp cytokin zytokin citoqu citocin lymphocyt lymph+nod lymphknot inflam entzund macroph makroph neutroph interleuk interferon t+cell t+zell nk+cell mast+cell",
+    "oncology": "tumor tumour tumeur oncogen onkogen carcino karzin cancer krebs metasta lymphom linfom sarcom sarkom gliom melanom leuk biops malign benign angiogen neoplas driver+mutat radiotherap relaps remission xenograft",
+    "pharmacology": "pharma farma dose dosi dosag bioavail bioverfug biodispon half+life halbwert vida+media demi+vie plasmaspiegel wirkstoff arznei medicament medikament toxic toxiz agonist antagonist vertraglich drug placebo excipient ligand potency clearance regimen side+effect",
+    "data_governance": "licen lizenz consent einwillig privac datenschutz retention aufbewahr retencion anonym pseudonym redistribut data+transfer data+sharing complian embargo confidential vertraulich copyright steward jurisdict access+request legal+hold ethi",
+    "bench_work": "pipet incuba inkuba centrifug zentrifug reagen freezer gefrier congela wash+buffer puffer cell+passag flow+cytom biosafety transfect microscop mikroskop autoclav vortex water+bath fume+hood agar pcr+tube cryovial",
+}
 
 
 def _stem(w: str) -> str:
@@ -50,12 +66,11 @@ def sentence_tokens(text: str) -> list[list[str]]:
     return [[_stem(w) for w in _WORD.findall(s) if not w[0].isdigit()] for s in sentences(text)]
 
 
-def _evidence(c: float, n: float, p: float) -> float:
-    """Log-likelihood ratio of c successes in n against the rate p; 0 if not above it."""
-    q = c / n if n else 0.0
-    if q <= p or not 0 < p < 1:
-        return 0.0
-    return 2 * (c * math.log(q / p) + ((n - c) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+def curated(subjects: list[str]) -> dict[str, int]:
+    """Curated terms with the number of their subject; a term that ends in ``*`` is the beginning of a word."""
+    at = {s.strip().lower().replace(" ", "_").replace("-", "_"): k for k, s in enumerate(subjects)}
+    term = lambda w: w[:-1].replace("+", " ") if w.endswith("+") else w.replace("+", " ") + "*"
+    return {term(w): at[s] for s, words in CURATED.items() if s in at for w in words.split()}
 
 
 def automaton(terms: list[str]):
@@ -64,7 +79,8 @@ def automaton(terms: list[str]):
 
     a = ahocorasick.Automaton()
     for k, term in enumerate(terms):
-        a.add_word(f" {term.replace(' ', '  ')} ", k)
+        body = f" {term.replace(' ', '  ')} "
+        a.add_word(body[:-2] if term.endswith("*") else body, k)
     a.make_automaton()
     return a
 
@@ -74,7 +90,7 @@ def find(a, tokens: list[str]) -> list[int]:
 
 
 def _labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(id, text, mask): a bounded sample of labelled documents, one bit per subject."""
+    """(id, body, mask): a bounded sample of labelled documents as tokens in sentences, one bit per subject."""
     plain = F.regexp_replace(F.lower(F.trim("subject")), "[^a-z0-9]+", "_")
     known = {s.strip().lower().replace(" ", "_").replace("-", "_"): k for k, s in enumerate(subjects)}
     bit = F.lit(None).cast("long")
@@ -88,7 +104,18 @@ def _labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects:
         .orderBy(F.xxhash64("id"), "id")
         .limit(MAX_LABELLED)  # the documented bound of the fit
     )
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(masks, "id")
+    mine = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(masks, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = ["\n".join(" ".join(s) for s in sentence_tokens(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), batch.column(2)], names=["id", "body", "mask"])
+
+    return mine.select("id", "text", "mask").mapInArrow(run, f"id {dict(docs.dtypes)[key]}, body string, mask long")
+
+
+def _sentences(body: str) -> list[list[str]]:
+    return [s.split(" ") for s in body.split("\n") if s]
 
 
 def _count(sample: DataFrame, emit, n_subjects: int) -> DataFrame:
@@ -98,56 +125,64 @@ def _count(sample: DataFrame, emit, n_subjects: int) -> DataFrame:
         state: dict = {}
         for batch in batches:
             terms, masks = [], []
-            for text, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in emit(text, state):
+            for body, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for t in emit(body, state):
                     terms.append(t), masks.append(mask)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(masks, pa.int64())], names=["term", "mask"])
 
-    rows = sample.select("text", "mask").mapInArrow(run, "term string, mask long")
+    rows = sample.select("body", "mask").mapInArrow(run, "term string, mask long")
     return rows.groupBy("term").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.expr(f"shiftright(mask, {k}) & 1")).alias(f"c{k}") for k in range(n_subjects)],
     )
 
 
+def _evidence(c: Column, n: Column, p: float) -> Column:
+    """Log-likelihood ratio of c successes in n against the rate p; 0 if not above it."""
+    if not 0 < p < 1:
+        return F.lit(0.0)
+    q = c / n
+    miss = F.when(q < 1, (n - c) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, 2 * (c * F.log(q / p) + miss)).otherwise(0.0)
+
+
+def _best(counted: DataFrame, base: list[float]) -> DataFrame:
+    """``counted`` with the subject each term is most evident for, its documents there, and the evidence."""
+    n = F.col("n")
+    each = [F.struct(_evidence(F.col(f"c{i}"), n, p).alias("e"), F.lit(-i).alias("neg"), F.col(f"c{i}").alias("c"), F.lit(float(p)).alias("p")) for i, p in enumerate(base)]
+    top = F.array_max(F.array(*each))
+    return counted.withColumn("b", top).select("term", "n", (-F.col("b.neg")).alias("subject"), F.col("b.c").alias("c"), F.col("b.e").alias("e"), F.col("b.p").alias("p"))
+
+
 @dataclass
 class Terms:
-    """Terms with their subjects' numbers, log odds, and what counts as enough."""
+    """Terms with their subjects' numbers, log odds, and the weight a sentence must have."""
 
     names: list[str]
     subject: list[int]
     odds: list[float]
     level: float = LEVELS[0]
-    enough: int = ENOUGH[0]
 
 
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> tuple[Terms, DataFrame]:
     """Terms of the subjects, and the sample they were fitted on."""
     k = len(subjects)
+    given = curated(subjects)
     sample = scratch(_labelled(docs, key, text, labels, subjects))
     total = sample.agg(F.count(F.lit(1)), *[F.sum(F.expr(f"shiftright(mask, {i}) & 1")) for i in range(k)]).first()
     size = total[0]
     base = [(total[i + 1] or 0) / size if size else 0.0 for i in range(k)]
-    if not size:
-        return Terms([], [], []), sample
-
-    def best(row) -> tuple[int, int]:
-        i = max(range(k), key=lambda j: (_evidence(row[f"c{j}"], row["n"], base[j]), -j))
-        return i, row[f"c{i}"]
 
-    def single(text: str, state: dict) -> set[str]:
-        return {w for s in sentence_tokens(text) for w in s}
+    def single(body: str, state: dict) -> set[str]:
+        return {w for s in _sentences(body) for w in s}
 
     # Words that tell at all; only they may begin or end a term.
-    telling = set()
-    for row in _count(sample, single, k).where("n >= 2").toLocalIterator():  # bounded by the sample's vocabulary
-        i, c = best(row)
-        if c / row["n"] >= 1.5 * base[i] + 0.05 and _evidence(c, row["n"], base[i]) >= 4:
-            telling.add(row["term"])
+    tells = "n >= 2 AND e >= 4 AND c / n >= 1.5 * p + 0.05"
+    telling = {r["term"] for r in _best(_count(sample, single, k), base).where(tells).select("term").toLocalIterator()} if size else set()
 
-    def several(text: str, state: dict) -> set[str]:
+    def several(body: str, state: dict) -> set[str]:
         out = set()
-        for s in sentence_tokens(text):
+        for s in _sentences(body):
             for i, w in enumerate(s):
                 if w in telling:
                     for n in range(1, LONGEST + 1):
@@ -155,33 +190,39 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[
                             out.add(" ".join(s[i : i + n]))
         return out
 
-    chosen: dict[str, tuple[int, float]] = {}
-    counted = _count(sample, several, k).where(F.col("n") >= MIN_DOCS)
-    for row in counted.orderBy(F.col("n").desc(), "term").limit(MAX_TERMS).toLocalIterator():
-        i, c = best(row)
-        if c / row["n"] >= PURITY and _evidence(c, row["n"], base[i]) >= EVIDENCE:
-            chosen[row["term"]] = (i, c / row["n"])
-    chosen = _prune(sample, chosen, k)
-    chosen = _prune(sample, {**_neighbours(sample, chosen, telling, base, k), **chosen}, k)
+    # What is fetched are the chosen terms, bounded by the sample's vocabulary.
+    pure = _best(_count(sample, several, k), base).where((F.col("n") >= MIN_DOCS) & (F.col("c") / F.col("n") >= PURITY) & (F.col("e") >= EVIDENCE))
+    chosen = {r["term"]: (r["subject"], r["c"] / r["n"]) for r in pure.toLocalIterator()} if telling else {}
+    chosen = _prune(sample, chosen, given, k)
+    chosen = _prune(sample, {**_neighbours(sample, chosen, telling, base, k), **chosen}, given, k)
     names = sorted(chosen)
     odds = [math.log((chosen[t][1] + 0.02) / (1.02 - chosen[t][1])) + 1.0 for t in names]
     return Terms(names, [chosen[t][0] for t in names], odds), sample
 
 
-def _prune(sample: DataFrame, chosen: dict[str, tuple[int, float]], k: int) -> dict[str, tuple[int, float]]:
-    """Terms that keep their subject when longest matches win, with the share they then have."""
-    names = sorted(chosen)
+def _prune(sample: DataFrame, chosen: dict[str, tuple[int, float]], given: dict[str, int], k: int) -> dict[str, tuple[int, float]]:
+    """Terms that keep their subject when longest matches win, with the share they then have.
 
-    def matched(text: str, state: dict) -> set[str]:
+    Curated terms (``given``) stay unless the labels speak against them.
+    """
+    all_terms = {**{t: (i, PRIOR) for t, i in given.items()}, **chosen}
+    names = sorted(all_terms)
+
+    def matched(body: str, state: dict) -> set[str]:
         if "a" not in state:
             state["a"] = automaton(names)
-        return {names[i] for s in sentence_tokens(text) for i in find(state["a"], s)}
+        return {names[i] for s in _sentences(body) for i in find(state["a"], s)}
 
+    seen = {r["term"]: r for r in _count(sample, matched, k).toLocalIterator()}  # one row per term
     out = {}
-    for row in _count(sample, matched, k).toLocalIterator():  # one row per term
-        i = chosen[row["term"]][0]
-        if row["n"] >= 2 and row[f"c{i}"] / row["n"] >= PURITY:
-            out[row["term"]] = (i, row[f"c{i}"] / row["n"])
+    for t, (i, _) in all_terms.items():
+        n, c = (seen[t]["n"], seen[t][f"c{i}"]) if t in seen else (0, 0)
+        if t in given:
+            share = (c + PRIOR_DOCS * PRIOR) / (n + PRIOR_DOCS)
+            if share >= PURITY:
+                out[t] = (i, share)
+        elif n >= 2 and c / n >= PURITY:
+            out[t] = (i, c / n)
     return out
 
 
@@ -193,49 +234,43 @@ def _neighbours(sample: DataFrame, chosen: dict, telling: set[str], base: list[f
         a = automaton(names)
         for batch in batches:
             terms, beside, masks = [], [], []
-            for text, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for s in sentence_tokens(text):
+            for body, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for s in _sentences(body):
                     hit = find(a, s)
                     of = {chosen[names[i]][0] for i in hit}
                     used = {w for i in hit for w in names[i].split()}
+                    begun = tuple(w[:-1] for w in used if w.endswith("*"))
                     one = of.pop() if len(of) == 1 else -1
                     for i, w in enumerate(s):
                         for n in range(1, LONGEST + 1):
                             part = s[i : i + n]
                             if len(part) == n and w in telling and part[-1] in telling:
                                 terms.append(" ".join(part))
-                                beside.append(-1 if used & set(part) else one)
+                                beside.append(-1 if used & set(part) or (begun and any(p.startswith(begun) for p in part)) else one)
                                 masks.append(mask)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), pa.array(beside, pa.int32()), pa.array(masks, pa.int64())], names=["term", "s", "mask"]
             )
 
-    rows = sample.select("text", "mask").mapInArrow(run, "term string, s int, mask long")
+    rows = sample.select("body", "mask").mapInArrow(run, "term string, s int, mask long")
     counts = rows.groupBy("term").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("s") >= 0).alias("beside"),
         *[F.count_if(F.col("s") == i).alias(f"b{i}") for i in range(k)],
         *[F.sum(F.expr(f"shiftright(mask, {i}) & 1")).alias(f"c{i}") for i in range(k)],
     )
-    out = {}
-    for row in counts.where("beside >= 2").toLocalIterator():  # bounded by the sample's telling words
-        i = max(range(k), key=lambda j: (row[f"b{j}"], -j))
-        b, tot = row[f"b{i}"], row["beside"]
-        if (
-            row["term"] not in chosen
-            and b >= 2
-            and b / tot >= 0.85
-            and tot >= 0.4 * row["n"]
-            and row[f"c{i}"] / row["n"] >= PURITY
-            and _evidence(b, tot, base[i]) >= 4
-        ):
-            out[row["term"]] = (i, row[f"c{i}"] / row["n"])
-    return out
+    each = [F.struct(F.col(f"b{i}").alias("b"), F.lit(-i).alias("neg"), F.col(f"c{i}").alias("c"), _evidence(F.col(f"b{i}"), F.col("beside"), p).alias("e")) for i, p in enumerate(base)]
+    best = counts.where("beside >= 2").withColumn("t", F.array_max(F.array(*each)))
+    kept = best.where(
+        (F.col("t.b") >= 2) & (F.col("t.b") / F.col("beside") >= 0.85) & (F.col("beside") >= 0.4 * F.col("n"))
+        & (F.col("t.c") / F.col("n") >= PURITY) & (F.col("t.e") >= 4)
+    )
+    return {r["term"]: (-r["t"]["neg"], r["t"]["c"] / r["n"]) for r in kept.select("term", "n", "t").toLocalIterator() if r["term"] not in chosen} if telling else {}
 
 
 def hits(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
     """(id, s, len, terms): the sentences of every document in which terms were found."""
-    sent = docs.sparkSession.sparkContext.broadcast(names)  # at most MAX_TERMS short strings
+    sent = docs.sparkSession.sparkContext.broadcast(names)  # short strings, bounded by the vocabulary of the bounded sample
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,28 +306,21 @@ def strengths(found: DataFrame, weights: DataFrame) -> DataFrame:
     return best.select("id", "s", (-F.col("b.neg")).alias("subject"), F.col("b.w").alias("w"))
 
 
-def _calibrate(terms: Terms, given: DataFrame, sample: DataFrame, k: int) -> Terms:
-    """The sentence threshold and the number of sentences that fit the labels best."""
+def _calibrate(terms: Terms, given: DataFrame, sample: DataFrame) -> Terms:
+    """The sentence threshold that fits the labels best; the lowest of equals."""
     mine = given.join(sample.select("id", "mask"), "id")
     per = mine.groupBy("id", "subject", "mask").agg(*[F.count_if(F.col("w") >= v).alias(f"n{i}") for i, v in enumerate(LEVELS)])
     right = F.expr("shiftright(mask, subject) & 1") == 1
-    tests = [(i, m) for i in range(len(LEVELS)) for m in ENOUGH]
-    row = per.agg(*[x for i, m in tests for x in (F.count_if((F.col(f"n{i}") >= m) & right), F.count_if((F.col(f"n{i}") >= m) & ~right))]).first()
+    row = per.agg(*[x for i in range(len(LEVELS)) for x in (F.count_if((F.col(f"n{i}") >= ENOUGH) & right), F.count_if((F.col(f"n{i}") >= ENOUGH) & ~right))]).first()
     wanted = sample.agg(F.sum(F.bit_count("mask"))).first()[0] or 0
-    scores = {}
-    for j, t in enumerate(tests):
-        tp, fp = row[2 * j] or 0, row[2 * j + 1] or 0
-        scores[t] = 2 * tp / max(1, tp + fp + wanted)
-    first = max(scores[i, ENOUGH[0]] for i in range(len(LEVELS)))
-    terms.enough = ENOUGH[1] if max(scores[i, ENOUGH[1]] for i in range(len(LEVELS))) > first + GAIN else ENOUGH[0]
-    terms.level = LEVELS[max(range(len(LEVELS)), key=lambda i: (scores[i, terms.enough], -i))]
+    scores = [2 * (row[2 * i] or 0) / max(1, (row[2 * i] or 0) + (row[2 * i + 1] or 0) + wanted) for i in range(len(LEVELS))]
+    terms.level = LEVELS[max(range(len(LEVELS)), key=lambda i: (scores[i], -i))]
     return terms
 
 
-def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(key, subject, n_sentences): every subject each document is about."""
+def weigh(docs: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
+    """(id, s, subject, w): what each sentence of every document gives to its foremost subject."""
     spark = docs.sparkSession
-    terms, sample = fit(docs, key, text, labels, subjects)
     found = scratch(hits(docs, key, text, terms.names))
     total = docs.count()
     df = found.select("id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -301,14 +329,24 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: li
     )
     rarity = F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.col("df"))) / F.lit(math.log(1.0 + max(1, total)))
     weights = cut(listed.join(df, "term").select("term", "subject", (F.col("odds") * (F.lit(0.5) + rarity)).alias("weight")))
-    given = scratch(strengths(found, weights))
-    terms = _calibrate(terms, given, sample, len(subjects))
-    names = spark.createDataFrame(list(enumerate(subjects)), "subject int, name string")
+    return scratch(strengths(found, weights))
+
+
+def choose(given: DataFrame, key: str, terms: Terms, subjects: list[str]) -> DataFrame:
+    """(key, subject, n_sentences): every subject to which a document gives enough sentences that weigh enough."""
+    names = given.sparkSession.createDataFrame(list(enumerate(subjects)), "subject int, name string")
     return (
         given.where(F.col("w") >= terms.level)
         .groupBy("id", "subject")
         .agg(F.count(F.lit(1)).cast("int").alias("n_sentences"))
-        .where(F.col("n_sentences") >= terms.enough)
+        .where(F.col("n_sentences") >= ENOUGH)
         .join(F.broadcast(names), "subject")
         .select(F.col("id").alias(key), F.col("name").alias("subject"), "n_sentences")
     )
+
+
+def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """(key, subject, n_sentences): every subject each document is about."""
+    terms, sample = fit(docs, key, text, labels, subjects)
+    given = weigh(docs, key, text, terms)
+    return choose(given, key, _calibrate(terms, given, sample), subjects)
