@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from vectrail.operators import evaluate as ev
 from vectrail.operators import relational as rel
+from vectrail.operators import features as ft
 from vectrail.operators import reliability as rl
 from vectrail.operators import reports as rp
 
@@ -98,12 +99,40 @@ def test_failure_modes(spark):
 
 
 def test_gate_keeps_outcomes_out(spark):
-    df = spark.createDataFrame([(1.0, 1, 0.5, "m", 0.1, "x")], "confidence double, n_cells int, target_risk double, model string, train_test_centroid_cosine double, run_id string")
-    spec = rl.feature_spec(df)
-    assert spec.columns == ["confidence", "n_cells", "model"]
-    assert rl.ablate(spec, "no_uncertainty_features").columns == ["n_cells", "model"]
-    audit = {r["column"]: r["class"] for r in rl.feature_audit(df).collect()}
-    assert audit["train_test_centroid_cosine"] == "outcome" and audit["run_id"] == "identifier"
+    df = spark.createDataFrame(
+        [(1.0, 1, 0.5, "m", 0.1, "x", 0.2, "p", 1.0, 0.3, True)],
+        "confidence double, n_cells int, target_risk double, model string, train_test_centroid_cosine double, run_id string, pearson double, some_path string, bio_x double, odd double, log1p_flag boolean",
+    )
+    spec = ft.feature_spec(df)
+    assert spec.numeric == ["bio_x", "confidence", "log1p_flag", "n_cells"] and spec.categorical == ["model"]
+    assert ft.ablate(spec, "no_uncertainty_features").columns == ["bio_x", "log1p_flag", "n_cells", "model"]
+    assert "bio_x" not in ft.ablate(spec, "no_pathway_features").columns
+    assert set(ft.feature_spec(df, "all").numeric) == set(spec.numeric) | {"train_test_centroid_cosine", "pearson", "odd"}
+    audit = {r.feature: r for r in ft.feature_audit(df).collect()}
+    assert audit["train_test_centroid_cosine"].target_or_label and audit["pearson"].target_or_label and audit["run_id"].identifier and audit["some_path"].identifier
+    assert audit["odd"].evaluation_only and audit["odd"].left_out and not audit["bio_x"].left_out
+    with pytest.raises(KeyError):
+        ft.ablate(spec, "no_such")
+    with pytest.raises(ValueError):
+        ft.feature_spec(df, "some")
+
+
+def test_held_parts_have_both_classes(spark):
+    rows = [(i, f"run{i % 6}", int(i % 6 == 0)) for i in range(120)]  # one run of six holds all the ones: no whole-run split has both on both sides
+    df = spark.createDataFrame(rows, "example_id long, run_id string, target_transportable int")
+    got = {(r.held, r.target_transportable): r["count"] for r in rl.group_parts(df, "run_id", "example_id").groupBy("held", "target_transportable").count().collect()}
+    assert got == {(True, 1): 5, (False, 1): 15, (True, 0): 25, (False, 0): 75}
+    rows = [(i, f"run{i % 8}", int(i % 8 in (0, 1))) for i in range(160)]
+    df = spark.createDataFrame(rows, "example_id long, run_id string, target_transportable int")
+    parts = rl.group_parts(df, "run_id", "example_id")
+    assert parts.groupBy("run_id").agg(F.countDistinct("held").alias("k")).agg(F.max("k")).first()[0] == 1
+    assert parts.select("held", "target_transportable").distinct().count() == 4
+
+
+def test_quantiles_of_equal_values(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 50 + [("a", 2.0)] * 50 + [("b", None), ("b", 5.0), (None, 1.0), (None, 4.0)], "g string, x double")
+    got = {(r.g, r.prob): r.quantile for r in rel.grouped_quantiles(df, ["g"], "x", [0.25, 0.5, 1.0]).collect()}
+    assert got == {("a", 0.25): 1.0, ("a", 0.5): 1.5, ("a", 1.0): 2.0, **{("b", p): 5.0 for p in (0.25, 0.5, 1.0)}, (None, 0.25): 1.75, (None, 0.5): 2.5, (None, 1.0): 4.0}
 
 
 def test_suite_learns(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.operators.kernels import rank_tests
-from vectrail.operators.relational import benjamini_hochberg, clip, first_per, min_rank, trapezoid
+from vectrail.operators.relational import grouped_quantiles, benjamini_hochberg, clip, first_per, min_rank, trapezoid
 from vectrail.operators.vectors import EPS
 
 # The families that count as stress, those anchored at their held-out dataset, and statuses that count.
@@ -45,9 +45,9 @@ def anchors(cases: DataFrame, runs: DataFrame) -> DataFrame:
         runs.where("split_family = 'random_split'").select("model", F.col("dataset_scope").alias("anchor"), "seed", F.col("run_id").alias("anchor_run")),
         ["model", "anchor", "seed"], [F.col("anchor_run")],
     )
-    per = cases.groupBy(F.col("run_id").alias("anchor_run")).agg(
-        F.avg("cosine_similarity").alias("anchor_mean"), F.percentile("cosine_similarity", 0.5).alias("anchor_median")
-    )
+    mine = cases.join(random.select(F.col("anchor_run").alias("run_id")), "run_id", "left_semi").select("run_id", "cosine_similarity")
+    median = grouped_quantiles(mine, ["run_id"], "cosine_similarity", [0.5]).select(F.col("run_id").alias("anchor_run"), F.col("quantile").alias("anchor_median"))
+    per = mine.groupBy(F.col("run_id").alias("anchor_run")).agg(F.avg("cosine_similarity").alias("anchor_mean")).join(median, "anchor_run", "left")
     wanted = runs.select("run_id", "model", "seed", anchor_dataset("split_family", "dataset_scope", "heldout_target").alias("anchor"))
     return wanted.join(random.join(per, "anchor_run", "left"), ["model", "anchor", "seed"], "left").select("run_id", "anchor_mean", "anchor_median")
 
@@ -112,10 +112,10 @@ def wilson(count: str, total: str, prefix: str) -> list[Column]:
 def family_summary(metrics: DataFrame, columns: list[str], keys: tuple[str, ...] = ("model", "split_family")) -> DataFrame:
     """Runs, mean and median of the first column, means of the others, per model and family; null keys are kept."""
     first = columns[0]
-    return metrics.groupBy(*keys).agg(
-        F.count("run_id").alias("n_runs"), F.avg(first).alias(f"mean_{first}"), F.percentile(first, 0.5).alias(f"median_{first}"),
-        *[F.avg(c).alias(f"mean_{c}") for c in columns[1:]],
-    )
+    flat = metrics.groupBy(*keys).agg(F.count("run_id").alias("n_runs"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+    median = grouped_quantiles(metrics, list(keys), first, [0.5]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("quantile").alias(f"median_{first}"))
+    joined = flat.join(median, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return joined.select(*keys, "n_runs", f"mean_{first}", f"median_{first}", *[f"mean_{c}" for c in columns[1:]])
 
 
 def model_pairs(metrics: DataFrame, value: str, context: list[str]) -> DataFrame:

@@ -111,20 +111,20 @@ def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str = "r
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """(keys, prob, quantile) by linear interpolation, exact, however large a group is."""
+    """(keys, prob, quantile) by linear interpolation, exact, however large a group is and however many values are equal.
+
+    Values are counted first, so that equal ones are one row; running counts then place the two ranks a quantile lies between.
+    """
+    gk = (group_key(*keys) if keys else F.lit(0).cast("long")).alias("_gk")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else rows.agg(F.count(F.lit(1)).alias("_n"))
-    spot = lambda p: (F.col("_n") - 1) * F.lit(p) + 1
-    wanted = sizes.select(
-        group_key(*keys).alias("_gk") if keys else F.lit(0).cast("long").alias("_gk"), *keys, "_n",
-        F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), spot(p).alias("spot")) for p in probs])).alias("_w"),
-    ).select("_gk", *keys, "_w.prob", "_w.spot")
-    ranked = grouped_rank(rows, keys, [F.col("_v")], "_rank").select(
-        (group_key(*keys) if keys else F.lit(0).cast("long")).alias("_rk"), "_rank", "_v"
-    )
-    near = F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))
-    asked = wanted.withColumn("_at", F.explode(near))
-    got = asked.join(ranked, (F.col("_gk") == F.col("_rk")) & (F.col("_at") == F.col("_rank")))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = grouped_running(counts, keys, [F.col("_v")], {"_upto": F.col("_c")}).select(gk, *keys, "_v", "_c", "_upto")
+    sizes = upto.groupBy("_gk", *keys).agg(F.max("_upto").alias("_n"))
+    spots = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("_n") - 1) * F.lit(float(p)) + 1).alias("spot")) for p in probs]))
+    wanted = sizes.select("_gk", *keys, spots.alias("_w")).select("_gk", *keys, "_w.prob", "_w.spot")
+    # A table of known size: broadcast while it is small, and with many groups its keys are spread.
+    asked = scratch(wanted.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot"))))))
+    got = asked.join(upto.drop(*keys), "_gk").where((F.col("_at") > F.col("_upto") - F.col("_c")) & (F.col("_at") <= F.col("_upto")))
     weight = F.when(F.col("spot") == F.col("_at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("spot") - F.col("_at")))
     return got.groupBy("_gk", *keys, "prob").agg(F.sum(weight * F.col("_v")).alias("quantile")).drop("_gk")
 

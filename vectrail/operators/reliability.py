@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -13,30 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import components
+from vectrail.operators.features import ABLATIONS, FeatureSpec, ablate, baseline_specs, feature_audit, feature_spec  # noqa: F401
 from vectrail.operators.relational import global_rank, global_running, grouped_quantiles, grouped_rank, log1p_or_zero
 from vectrail.session import cut
+from vectrail.tables import group_key
 
 COVERAGES = (0.2, 0.4, 0.6, 0.8)
 
-# Names and name parts that mark a column as an identifier, an outcome, or known before prediction.
-IDENTIFIERS = ["run_id", "signature_id", "perturbation_label", "reference_key", "control_label_used", "source_dataset", "split_json_path", "output_dir", "log_file", "heldout_target"]
-OUTCOME_PARTS = ["target_", "transportable", "cosine", "risk", "failure", "rmse", "mae", "delta_norm_true", "anchor", "threshold", "retention"]
-DEPLOYMENT = [
-    "n_cells", "confidence", "delta_norm_pred", "perturbation_seen_in_train", "is_combination", "component_count", "component_seen_fraction",
-    "unseen_component_count", "reference_seen_in_train", "dataset_seen_in_train", "batch_seen_in_train", "timepoint_seen_in_train",
-    "log1p_perturbation_train_signature_count", "log1p_perturbation_train_cell_count", "log1p_reference_train_signature_count",
-    "log1p_reference_train_cell_count", "train_units", "train_perturbations", "train_test_centroid_l2", "train_test_centroid_cosine",
-    "model", "split_family", "dataset_id", "gene_space_policy",
-]
-ABLATIONS = {
-    "full": [],
-    "no_context_distance": ["centroid", "reference_", "dataset_seen", "batch_seen", "timepoint_seen"],
-    "no_perturbation_novelty": ["perturbation_", "component", "is_combination"],
-    "no_uncertainty_features": ["confidence", "delta_norm_pred"],
-    "no_pathway_features": ["bio_", "pathway"],
-}
-
-
 def novelty(label: str, run: str, train_labels: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with what their labels and label parts have in common with the labels of their run's train part.
 
@@ -132,64 +115,38 @@ def capped_sample(df: DataFrame, most: int, stratum: str, key: str, seed: int =
     return ranked.withColumn("_late", (F.col("_rn") > F.col("_take")).cast("int")).orderBy("_late", order, key).limit(most).drop("_rn", "_take", "_late")
 
 
-@dataclass(frozen=True)
-class FeatureSpec:
-    numeric: list[str]
-    categorical: list[str]
-
-    @property
-    def columns(self) -> list[str]:
-        return self.numeric + self.categorical
-
-
-def classify_feature(name: str) -> str:
-    """identifier, outcome, deployment or other; what looks like an outcome is one, whatever list it stands on."""
-    if name in IDENTIFIERS:
-        return "identifier"
-    if any(p in name for p in OUTCOME_PARTS):
-        return "outcome"
-    return "deployment" if name in DEPLOYMENT or name.startswith("bio_") else "other"
-
-
-def feature_spec(df: DataFrame, mode: str = "deployment") -> FeatureSpec:
-    kinds = dict(df.dtypes)
-    numeric_kinds = ("double", "float", "int", "bigint", "boolean")
-    keep = [c for c in df.columns if (classify_feature(c) == "deployment" if mode == "deployment" else c not in IDENTIFIERS and not c.startswith("target_"))]
-    return FeatureSpec([c for c in keep if kinds[c] in numeric_kinds], [c for c in keep if kinds[c] == "string"])
-
-
-def feature_audit(df: DataFrame) -> DataFrame:
-    """One row a column: its class and whether the deployment features hold it."""
-    spec = feature_spec(df)
-    rows = [(c, classify_feature(c), classify_feature(c) == "outcome", c in spec.columns) for c in df.columns]
-    return df.sparkSession.createDataFrame(rows, "column string, class string, target_or_label boolean, included boolean")
-
+def group_parts(df: DataFrame, group: str, key: str, label: str = "target_transportable", share: float = 0.25, seed: int = 7, tries: int = 20) -> DataFrame:
+    """Adds ``held``: whole groups for testing, in hash order, from the first of ``tries`` seeds that leaves both classes on both sides.
 
-def ablate(spec: FeatureSpec, ablation: str) -> FeatureSpec:
-    drop = ABLATIONS[ablation]
-    stay = lambda cs: [c for c in cs if not any(p in c for p in drop)]
-    return FeatureSpec(stay(spec.numeric), stay(spec.categorical))
-
-
-def group_parts(df: DataFrame, group: str, key: str, share: float = 0.25, seed: int = 7) -> DataFrame:
-    """Adds ``held``: whole groups for testing, in hash order; single rows where there are fewer than four groups."""
-    n = df.select(group).distinct().count()
-    if n < 4:
-        return df.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < F.lit(int(share * 1000)))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group)))
-    take = max(1, round(n * share))
-    names = global_rank(df.select(group).distinct(), [order, F.col(group)], "_rn")
-    return df.join(names, group).withColumn("held", F.col("_rn") <= take).drop("_rn")
+    Where no seed does, or with fewer than four groups, single rows are held, in hash order within each class.
+    """
+    sizes = cut(df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("_one"), F.count_if(F.col(label) == 0).alias("_nil")))
+    n = sizes.count()
+    for k in range(tries if n >= 4 else 0):
+        order = F.md5(F.concat_ws("|", F.lit(str(seed + k)), F.col(group)))
+        ranked = global_rank(sizes, [order, F.col(group)], "_rn").withColumn("held", F.col("_rn") <= math.ceil(n * share))
+        sides = ranked.groupBy("held").agg(F.sum("_one").alias("one"), F.sum("_nil").alias("nil")).collect()  # two rows
+        if len(sides) == 2 and all(r["one"] and r["nil"] for r in sides):
+            return df.withColumn("_gk", group_key(group)).join(ranked.select(group_key(group).alias("_gk"), "held"), "_gk").drop("_gk")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = grouped_rank(df.select(key, label), [label], [order, F.col(key)], "_rn")
+    total = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    held = ranked.join(total, ranked[label].eqNullSafe(total[label])).select(key, (F.col("_rn") <= F.ceil(F.col("_n") * share)).alias("held"))
+    return df.join(held, key)
 
 
 def _prepared(train: DataFrame, test: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, DataFrame, list]:
-    """Exact-median fills, rare categories folded together; fitted on the train rows."""
-    row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in spec.numeric]).first() if spec.numeric else {}
-    num = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(float(row[c] or 0.0))) for c in spec.numeric}
+    """Median fills from counts per value, categories seen once folded together; fitted on the train rows."""
+    plain = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    row = {}
+    if spec.numeric:
+        long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), plain(c).alias("x")) for c in spec.numeric])).alias("e")).select("e.*")
+        row = {r["c"]: r["quantile"] for r in grouped_quantiles(long, ["c"], "x", [0.5]).collect()}  # one row a feature
+    num = {c: F.coalesce(plain(c), F.lit(float(row.get(c) or 0.0))) for c in spec.numeric}
     cat = {c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("missing")) for c in spec.categorical}
     train, test = train.withColumns({**num, **cat}), test.withColumns({**num, **cat})
     for c in spec.categorical:
-        common = F.broadcast(train.groupBy(c).count().where("count >= 2").select(c).limit(10_000).withColumn("_ok", F.lit(True)))
+        common = train.groupBy(c).count().where("count >= 2").select(c, F.lit(True).alias("_ok"))
         fold = lambda d: d.join(common, c, "left").withColumn(c, F.when(F.col("_ok"), F.col(c)).otherwise(F.lit("rare"))).drop("_ok")
         train, test = fold(train), fold(test)
     stages = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep") for c in spec.categorical]
@@ -210,7 +167,7 @@ def fit_scores(df: DataFrame, spec: FeatureSpec, estimator: str, label: str = "t
     weight = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     train = cut(train.withColumn("_w", weight).withColumn(label, F.col(label).cast("double")))
     if estimator == "logistic_regression":
-        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", regParam=1.0 / n, standardization=False, maxIter=200, probabilityCol="_p")
+        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", regParam=1.0 / n, standardization=False, maxIter=1000, probabilityCol="_p")
     elif estimator == "random_forest":
         model = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=7, probabilityCol="_p")
     else:
@@ -331,6 +288,19 @@ def conformal_scores(df: DataFrame, score: str = "confidence", quantile: float =
     return df.where("held").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.lit(0.0), off - F.lit(cutoff)))))
 
 
+def reliability_baselines(df: DataFrame, trees: int = 200) -> DataFrame:
+    """The naive confidence, the conformal proxy and every feature subset, one row each, with the gain over the naive one."""
+    parts = cut(group_parts(df, "run_id", "example_id"))
+    naive = parts.where("held").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
+    each = [("naive_confidence", "confidence", 1, naive), ("conformal_confidence_proxy", "confidence_quantile", 1, conformal_scores(parts))]
+    each += [(name, e, len(spec.columns), cut(fit_scores(parts, spec, e, trees=trees))) for name, (spec, e) in baseline_specs(parts).items()]
+    frames = [score_row(held, name, e, n).withColumnRenamed("ablation", "baseline") for name, e, n, held in each]
+    rows = [tuple(f.first()) for f in frames]  # one row a baseline, settled before the next
+    out = df.sparkSession.createDataFrame(rows, frames[0].schema)
+    at = frames[0].columns.index("mean_false_transportability_rate")
+    return out.withColumn("false_transportability_gain_vs_naive", F.lit(rows[0][at]) - F.col("mean_false_transportability_rate"))
+
+
 def failure_summary(df: DataFrame, means: list[str]) -> DataFrame:
     return df.groupBy("model", "split_family", "failure_mode").agg(
         F.count("signature_id").alias("n_signatures"), F.avg("target_transportable").alias("transportable_rate"), *[F.avg(c).alias(f"mean_{c}") for c in means]

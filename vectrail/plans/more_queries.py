@@ -13,7 +13,8 @@ from vectrail.operators import kernels, predictors, vectors
 from vectrail.operators import relational as rel
 from vectrail.operators import reliability as rl
 from vectrail.plans import views as v
-from vectrail.plans.report_queries import _DECAY, _decay, _examples, _failures, _FAIL
+from vectrail.operators import features as ft
+from vectrail.plans.report_queries import _any, _DECAY, _decay, _examples, _failures, _FAIL, _ROLES
 from vectrail.plans.views import rounded, sql, sql_dot, sql_r
 from vectrail.session import cut
 from vectrail.sources.readers import catalog_row
@@ -354,10 +355,10 @@ def r1(spark: SparkSession, root: str) -> DataFrame:
     return got.select("case_id", "failure_mode", "perturbation_seen_in_train", "reference_seen_in_train", "log1p_perturbation_train_cell_count", "gene_space_policy")
 
 
-@query("r7_ablated_features")
+@query("r7_ablated_features", f"WITH {_ROLES}, s AS (SELECT feature FROM g WHERE deployment_available AND (cat OR num)) " + " UNION ALL ".join(f"SELECT '{a}' AS ablation, feature FROM s WHERE NOT {_any(drop)}" for a, drop in ft.ABLATIONS.items()))
 def r7(spark: SparkSession, root: str) -> DataFrame:
-    spec = rl.feature_spec(_examples(spark, root))
-    rows = [(a, c) for a in rl.ABLATIONS for c in rl.ablate(spec, a).columns]
+    spec = ft.feature_spec(_examples(spark, root))
+    rows = [(a, c) for a in ft.ABLATIONS for c in ft.ablate(spec, a).columns]
     return spark.createDataFrame(rows, "ablation string, feature string")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.operators import evaluate as ev
+from vectrail.operators import features as ft
 from vectrail.operators import relational as rel
 from vectrail.operators import reliability as rl
 from vectrail.operators import reports as rp
@@ -138,9 +139,50 @@ def r4(spark: SparkSession, root: str) -> DataFrame:
     return rl.capped_sample(v.cases(spark, root).where("transportable IS NOT NULL").select("case_id", "transportable"), 2000, "transportable", "case_id").select("case_id")
 
 
-@query("r5_feature_audit")
+#: The columns of the examples with their kinds, as the SQL of the feature rules takes them.
+_EXAMPLE_COLUMNS = {
+    "text": ["run_id", "signature_id", "model", "dataset_id", "split_family", "gene_space_policy", "failure_mode"],
+    "number": [
+        "example_id", "seed", "target_fidelity", "confidence", "anchor_signature_median_cosine", "anchor_signature_median_cosine_run", "n_cells",
+        "transport_threshold", "target_transportable", "target_risk", "log1p_n_cells", "stress_family_flag", "train_units", "train_perturbations",
+        "perturbation_seen_in_train", "is_combination", "component_count", "component_seen_fraction", "unseen_component_count",
+        *[f"{p}{a}_train_{b}_count" for a in _SUP for b in ("signature", "cell") for p in ("", "log1p_")],
+        "reference_seen_in_train", "dataset_seen_in_train", "batch_seen_in_train", "timepoint_seen_in_train",
+    ],
+}
+
+
+def _listed(names: list[str] | tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _any(parts: list[str], x: str = "feature") -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")" if parts else "false"
+
+
+_ROLES = (
+    "c AS (SELECT unnest([" + ", ".join(f"{{'feature': '{n}', 'num': {k == 'number'}}}" for k, ns in _EXAMPLE_COLUMNS.items() for n in ns) + "], recursive := true)), "
+    f"f AS (SELECT feature, num, feature IN {_listed(ft.CATEGORICAL)} AS cat, feature IN {_listed(ft.IDENTIFIERS)} OR regexp_matches(lower(feature), '(_path|_file)$') AS identifier, "
+    f"feature IN {_listed(ft.OUTCOMES)} OR {_any(ft.OUTCOME_PARTS, 'lower(feature)')} AS target_or_label, feature IN {_listed(ft.DEPLOYMENT)} OR starts_with(feature, 'log1p_') OR starts_with(feature, 'bio_') AS listed FROM c), "
+    "g AS (SELECT *, (cat OR listed) AND NOT identifier AND NOT target_or_label AS deployment_available, CASE WHEN cat THEN 'model_split_dataset_indicator' "
+    + "".join(f"WHEN {_any(parts)}{' OR feature IN ' + _listed(ft.SUPPORT) if name == 'support_availability' else ''} THEN '{name}' " for name, parts in ft.GROUPS)
+    + "WHEN starts_with(feature, 'bio_') OR contains(feature, 'pathway') THEN 'optional_biology' ELSE 'other' END AS ablation_group FROM f)"
+)
+
+
+@query("r5_feature_audit", f"WITH {_ROLES} SELECT feature, CASE WHEN cat THEN 'categorical' WHEN num THEN 'numeric' ELSE 'non_feature' END AS type, CASE WHEN identifier THEN 'identifier' WHEN target_or_label THEN 'target_or_evaluation_outcome' ELSE ablation_group END AS source_group, ablation_group, deployment_available, NOT deployment_available AND NOT identifier AND NOT target_or_label AS evaluation_only, target_or_label, identifier, NOT (deployment_available AND (cat OR num)) AS left_out FROM g")
 def r5(spark: SparkSession, root: str) -> DataFrame:
-    return rl.feature_audit(_examples(spark, root))
+    return ft.feature_audit(_examples(spark, root)).drop("reason")
+
+
+@query("r6_feature_spec", f"WITH {_ROLES} SELECT m AS mode, feature, CASE WHEN cat THEN 'categorical' ELSE 'numeric' END AS kind FROM g, (VALUES ('deployment'), ('all')) AS q(m) WHERE (cat OR num) AND CASE m WHEN 'deployment' THEN deployment_available ELSE feature NOT IN {_listed(ft.OUTCOMES)} AND feature NOT IN {_listed(ft.IDENTIFIERS)} END")
+def r6(spark: SparkSession, root: str) -> DataFrame:
+    e = _examples(spark, root)
+    rows = []
+    for mode in ("deployment", "all"):
+        spec = ft.feature_spec(e, mode)
+        rows += [(mode, c, "numeric") for c in spec.numeric] + [(mode, c, "categorical") for c in spec.categorical]
+    return spark.createDataFrame(rows, "mode string, feature string, kind string")
 
 
 @query("r11_selective_profile", f"WITH l AS (SELECT case_id, transportable::INT AS y, risk, coalesce(confidence, 0) AS s FROM cases WHERE transportable IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, case_id) AS rn, count(*) OVER () AS n, avg(risk) OVER () AS base FROM l), g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS coverage), q AS (SELECT coverage, max(greatest(1, ceil(coverage * n)))::BIGINT AS kept, max(n) AS n, max(base) AS base, avg(risk) FILTER (WHERE rn <= greatest(1, ceil(coverage * n))) AS sr, avg(1 - y) FILTER (WHERE rn <= greatest(1, ceil(coverage * n))) AS fr FROM r, g GROUP BY coverage) SELECT coverage, kept, {sql_r('kept / n', 'observed')}, {sql_r('sr', 'selective_risk')}, {sql_r('fr', 'false_transportability_rate')}, {sql_r('base - sr', 'abstention_gain')} FROM q", "cases")
@@ -162,13 +204,18 @@ def r12(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, root: str, multiplier: float = 0.8) -> DataFrame:
-    """Examples with targets against their anchor, deployment features and run context."""
+    """Examples with targets against their anchor, run context, and the support their label, reference and dataset have in train."""
     e = rl.relative_threshold(v.examples(spark, root), multiplier).where("target_fidelity IS NOT NULL AND transport_threshold IS NOT NULL")
-    sizes = v.units(spark, root).groupBy("split_id").agg(
+    u = v.units(spark, root)
+    sizes = u.groupBy("split_id").agg(
         F.count_if(F.col("split_part") == "train").alias("train_units"), F.countDistinct(F.when(F.col("split_part") == "train", F.col("perturbation_label"))).alias("train_perturbations")
     )
+    support = rl.support_features(u.withColumnRenamed("split_part", "part"))
+    names = [c for c in support.columns if c.endswith(("_count", "_in_train", "_fraction", "is_combination"))]
+    once = support.groupBy("split_id", "signature_id").agg(*[F.max(c).alias(c) for c in names])
     stem = F.regexp_replace("run_id", "__[^_]+(_[^_]+)*_baseline$", "")
-    return e.withColumn("split_id", stem).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "split_id", "left").drop("split_id")
+    flags = {"split_id": stem, "log1p_n_cells": rel.log1p_or_zero("n_cells"), "stress_family_flag": F.coalesce(F.col("split_family").isin(ev.STRESS_FAMILIES), F.lit(False)).cast("double")}
+    return e.withColumns(flags).join(sizes, "split_id", "left").join(once, ["split_id", "signature_id"], "left").drop("split_id")
 
 
 @query("n7_relative_threshold", f"WITH m AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS multiplier), t AS (SELECT multiplier, target_fidelity >= multiplier * coalesce(anchor_signature_median_cosine, anchor_signature_median_cosine_run) AS k FROM examples, m) SELECT multiplier, count(*) AS n, {sql_r('avg(coalesce(k, false)::INT)', 'transportable_rate')} FROM t GROUP BY multiplier", "examples")
@@ -199,10 +246,33 @@ def r13(spark: SparkSession, root: str) -> DataFrame:
     return rl.ablation_suite(cut(_examples(spark, root)), list(rl.ABLATIONS))
 
 
-@query("n8_conformal_proxy")
+#: Held examples of the first seed, and the scores by confidence and by its excess over the train part's nonconformity.
+_HELD = (
+    "e AS (SELECT example_id, run_id, coalesce(confidence, 0) AS s, target_fidelity AS f, 0.8::DOUBLE * coalesce(anchor_signature_median_cosine, anchor_signature_median_cosine_run) AS t FROM examples), "
+    "l AS (SELECT example_id, run_id, s, (f >= t)::INT AS y, 1 - f AS risk FROM e WHERE f IS NOT NULL AND t IS NOT NULL), "
+    "h AS (SELECT run_id, row_number() OVER (ORDER BY md5('7|' || run_id), run_id) <= ceil(count(*) OVER () * 0.25::DOUBLE) AS held FROM (SELECT DISTINCT run_id FROM l)), "
+    "p AS (SELECT l.*, held FROM l JOIN h USING (run_id)), q AS (SELECT quantile_cont(1 - s, 0.2) AS cutoff FROM p WHERE NOT held), "
+    "b AS (SELECT 'naive_confidence' AS baseline, example_id, y, risk, s FROM p WHERE held UNION ALL SELECT 'conformal_confidence_proxy', example_id, y, risk, greatest(0, least(1, 1 - greatest(0, 1 - s - cutoff))) FROM p, q WHERE held), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY baseline ORDER BY s DESC, example_id) AS rn, count(*) OVER (PARTITION BY baseline) AS n, rank() OVER (PARTITION BY baseline ORDER BY s) + (count(*) OVER (PARTITION BY baseline, s) - 1) / 2 AS rk FROM b), "
+    "k AS (SELECT baseline, c, avg(risk) FILTER (WHERE rn <= greatest(1, ceil(c * n))) AS sr, avg(1 - y) FILTER (WHERE rn <= greatest(1, ceil(c * n))) AS fr, avg(risk) AS base FROM r, (SELECT unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS c) GROUP BY ALL), "
+    "m AS (SELECT baseline, avg(sr) AS mean_selective_risk, avg(fr) AS mean_false_transportability_rate, avg(base - sr) AS mean_abstention_gain FROM k GROUP BY ALL), "
+    "a AS (SELECT baseline, avg(((s >= 0.5)::INT = y)::INT) AS accuracy, avg((s - y) ** 2) AS brier, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS roc_auc FROM r GROUP BY ALL)"
+)
+
+
+@query("n8_score_baselines", f"WITH {_HELD} SELECT baseline, {_r('accuracy', 'brier', 'roc_auc', 'mean_selective_risk', 'mean_false_transportability_rate', 'mean_abstention_gain')} FROM a JOIN m USING (baseline)", "examples")
+def n8_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The naive confidence and the conformal proxy on the held examples."""
+    e = rl.relative_threshold(v.examples(spark, root), 0.8).where("target_fidelity IS NOT NULL AND transport_threshold IS NOT NULL")
+    parts = cut(rl.group_parts(e, "run_id", "example_id"))
+    naive = parts.where("held").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
+    both = rl.score_row(naive, "naive_confidence", "", 1).unionByName(rl.score_row(rl.conformal_scores(parts), "conformal_confidence_proxy", "", 1))
+    return rounded(both.select(F.col("ablation").alias("baseline"), "accuracy", "brier", "roc_auc", "mean_selective_risk", "mean_false_transportability_rate", "mean_abstention_gain"))
+
+
+@query("n8_reliability_baselines")
 def n8(spark: SparkSession, root: str) -> DataFrame:
-    parts = cut(rl.group_parts(_examples(spark, root), "run_id", "example_id"))
-    return rl.score_row(rl.conformal_scores(parts), "conformal_confidence_proxy", "confidence_quantile", 1)
+    return rl.reliability_baselines(cut(_examples(spark, root)))
 
 
 def _failures(spark: SparkSession, root: str) -> DataFrame:
