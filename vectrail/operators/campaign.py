@@ -7,43 +7,79 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.functions.labels import is_combination, normalize_label
 from vectrail.operators import splits
 from vectrail.operators.reliability import support_features, targets
 
-FAMILIES = ["random_split", "unseen_perturbation_split", "unseen_combination_split", "low_support_split"]
+FAMILIES = ["random_split", "unseen_perturbation_split", "unseen_combination_split", "low_support_split", "unseen_cell_state_split", "unseen_cell_type_or_lineage_split"]
 
 
-def split_grid(units: DataFrame, seeds: list[int], families: list[str] | None = None, scope: str = "dataset_id") -> DataFrame:
-    """(split_id, split_family, scope, seed, unit, part) of every family and seed, all scopes of a family in one job.
+def split_grid(
+    units: DataFrame, seeds: list[int], scope: str = "dataset_id", state: str | None = None, lineage: str | None = None, external: str | None = None,
+    families: list[str] | None = None,
+) -> DataFrame:
+    """(split_id, split_family, scope, seed, heldout_target, signature_id, part) of every family, scope and seed.
 
-    ``units``: (signature_id, dataset_id, perturbation_label, is_control, n_cells).
+    ``units``: (signature_id, scope, perturbation_label, is_control, n_cells, and the label columns ``state`` and
+    ``lineage`` where there are any).  Each dataset is split by itself in the families of one dataset; each in turn
+    is held out from all others in ``dataset_heldout_split``, and ``external`` in ``external_holdout``.  All splits
+    are flagged first and then ranked together, so the grid is as many jobs as one split.
     """
+    every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("_seed")
+    seeded = units.select("*", every)
+    among = [scope, "_seed"]
+    plain = ~F.col("is_control")
+
+    def named(family: str, rows: DataFrame, held: Column, order: int, scope_name: Column, target: Column | None = None) -> DataFrame:
+        target = target if target is not None else F.lit("")
+        stem = F.concat_ws("__", F.lit(family), scope_name, F.when(target != "", F.concat(F.lit("holdout-"), target)), F.concat(F.lit("seed"), F.col("_seed")))
+        return rows.select(
+            stem.alias("split_id"), F.lit(family).alias("split_family"), scope_name.alias("scope"), F.col("_seed").alias("seed"), target.alias("heldout_target"),
+            "signature_id", "is_control", (F.col("_seed") + order).alias("_order"), F.coalesce(held, F.lit(False)).alias("_held"),
+        )
+
+    def by_label(family: str, label: str, with_controls: bool) -> DataFrame:
+        clean = seeded.withColumn("_label", normalize_label(label))
+        hit = splits.held_labels(clean, "_label", F.col("_seed") + 2000, plain, among).withColumn("_hit", F.lit(True))
+        held = F.col("_hit") if with_controls else F.col("_hit") & plain
+        return named(family, clean.join(hit, [*among, "_label"], "left"), held, 0, F.col(scope))
+
+    def low() -> DataFrame:
+        at = splits.low_support_cutoff(units.where(plain), "n_cells", [scope], "signature_id")
+        return named("low_support_split", seeded.join(at, scope, "left"), (F.col("n_cells") <= F.col("cutoff")) & plain, 3000, F.col(scope))
+
+    def whole(family: str, scope_name: str, held: DataFrame) -> DataFrame:
+        pairs = seeded.join(held, F.lit(True))  # as many copies of the units as there are datasets to hold out: the grid itself
+        return named(family, pairs, F.col(scope) == F.col("_target"), 3000, F.lit(scope_name), F.col("_target"))
+
     make = {
-        "random_split": lambda s: splits.random_part(units, "signature_id", s, "is_control", [scope]),
-        "unseen_perturbation_split": lambda s: splits.unseen_label_parts(units, "signature_id", "perturbation_label", s, among=[scope]),
-        "unseen_combination_split": lambda s: splits.combination_parts(units, "signature_id", "perturbation_label", s, among=[scope]),
-        "low_support_split": lambda s: splits.low_support_parts(units, "signature_id", "n_cells", s, [scope]),
+        "random_split": lambda: named("random_split", seeded, F.lit(False), 0, F.col(scope)),
+        "unseen_perturbation_split": lambda: by_label("unseen_perturbation_split", "perturbation_label", False),
+        "unseen_combination_split": lambda: named("unseen_combination_split", seeded, is_combination("perturbation_label") & plain, 3000, F.col(scope)),
+        "low_support_split": low,
+        "unseen_cell_state_split": lambda: by_label("unseen_cell_state_split", state, True) if state else None,
+        "unseen_cell_type_or_lineage_split": lambda: by_label("unseen_cell_type_or_lineage_split", lineage, True) if lineage else None,
+        "dataset_heldout_split": lambda: whole("dataset_heldout_split", "all_datasets", units.select(F.col(scope).alias("_target")).where("_target IS NOT NULL").distinct()),
+        "external_holdout": lambda: whole("external_holdout", "internal_vs_external", units.sparkSession.createDataFrame([(external,)], "_target string")) if external else None,
     }
-    out = []
-    for family in families or FAMILIES:
-        for seed in seeds:
-            stem = F.concat_ws("__", F.lit(family), F.col(scope), F.lit(f"seed{seed}"))
-            out.append(
-                make[family](seed).select(
-                    stem.alias("split_id"), F.lit(family).alias("split_family"), F.col(scope).alias("scope"), F.lit(seed).alias("seed"), "signature_id", "part"
-                )
-            )
-    return reduce(DataFrame.unionByName, out)
-
-
-def heldout_grid(units: DataFrame, held: list[str], seeds: list[int], dataset: str = "dataset_id") -> DataFrame:
-    """The cross-dataset family: each named dataset held out once a seed."""
-    out = []
-    for name in held:
-        for seed in seeds:
-            parts = splits.dataset_parts(units, "signature_id", dataset, name, seed)
-            out.append(parts.select(F.lit(f"dataset_heldout_split__cross_dataset__holdout-{name}__seed{seed}").alias("split_id"), "signature_id", "part"))
-    return reduce(DataFrame.unionByName, out)
+    flagged = reduce(DataFrame.unionByName, [f for f in (make[x]() for x in families or make) if f is not None])
+    parts = splits.random_part(flagged, "signature_id", F.col("_order"), "is_control", ["split_id", "_held"])
+    part = F.when(F.col("split_family") == "random_split", F.col("part")).when(F.col("_held"), "test").when(F.col("part") == "test", "unused").otherwise(F.col("part"))
+    return parts.withColumn("part", part).drop("is_control", "_order", "_held")
+
+
+def split_records(grid: DataFrame, asked: DataFrame) -> DataFrame:
+    """(split_id, split_family, scope, seed, heldout_target, status, reason, n_train, n_validation, n_test) of every split asked for.
+
+    ``asked``: (split_id, split_family, scope, seed, heldout_target).  A split that isn't in the grid, or holds out no row
+    or every row, is unsupported, with its reason.
+    """
+    sizes = grid.groupBy("split_id").agg(*[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "test")])
+    n = lambda p: F.coalesce(F.col(f"n_{p}"), F.lit(0).cast("long"))
+    reason = F.when(F.col("n_test").isNull(), "no rows or no labels to hold out").when(n("test") == 0, "test mask selects no rows").when(n("train") == 0, "test mask selects all rows").otherwise("")
+    return asked.join(sizes, "split_id", "left").select(
+        *asked.columns, F.when(reason == "", "ready").otherwise("unsupported").alias("status"), reason.alias("reason"), *[n(p).alias(f"n_{p}") for p in ("train", "validation", "test")]
+    )
 
 
 def supported(parts: DataFrame, keys: list[str]) -> DataFrame:

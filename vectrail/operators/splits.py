@@ -7,7 +7,7 @@ rules leave over carry the part 'unused'.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.labels import is_combination, normalize_label
@@ -22,8 +22,12 @@ class Unsupported(ValueError):
     """A split that the data can't give; callers record it with its reason."""
 
 
-def hash_order(seed: int, unit: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string")))
+def hash_order(seed: int | Column, unit: str) -> Column:
+    return F.md5(F.concat_ws("|", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), F.col(unit).cast("string")))
+
+
+def _key(keys: list[str]) -> Column:
+    return group_key(*keys) if keys else F.lit(0).cast("long")
 
 
 def _sizes(n: Column) -> tuple[Column, Column]:
@@ -33,22 +37,26 @@ def _sizes(n: Column) -> tuple[Column, Column]:
     return test, validation
 
 
-def random_part(df: DataFrame, unit: str, seed: int, stratum: str | None = None, among: list[str] | None = None) -> DataFrame:
+def random_part(df: DataFrame, unit: str, seed: int | Column, stratum: str | None = None, among: list[str] | None = None) -> DataFrame:
     """Adds ``part``: a random split within each stratum, separately for each value of ``among``.
 
-    Strata are few and large, so rows are ranked in ranges, never a stratum in one task.
+    Strata are few and large, so units are ranked in ranges, never a stratum in one task, and by their keys
+    alone: other columns stay where they are.  Repeated rows of a unit take one part.  A ``seed`` column must
+    be one of ``among``.
     """
     keys = [*(among or []), *([stratum] if stratum else [])]
-    ranked = grouped_rank(df, keys, [hash_order(seed, unit), F.col(unit)], "_rn")
-    sizes = ranked.groupBy(group_key(*keys).alias("_k") if keys else F.lit(0).cast("long").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    here = ranked.withColumn("_k", group_key(*keys) if keys else F.lit(0).cast("long")).join(sizes, "_k")
+    narrow = df.select(_key(keys).alias("_k"), *([seed.alias("_s")] if isinstance(seed, Column) else []), unit).distinct()
+    ranked = grouped_rank(narrow, ["_k"], [hash_order(F.col("_s") if isinstance(seed, Column) else seed, unit), F.col(unit)], "_rn")
+    sizes = narrow.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     n, rn = F.col("_n"), F.col("_rn")
     test, validation = _sizes(n)
     part = F.when(n < 3, F.lit("train")).when(rn <= test, F.lit("test")).when(rn <= test + validation, F.lit("validation")).otherwise(F.lit("train"))
-    return here.withColumn("part", part).drop("_k", "_n", "_rn")
+    placed = ranked.join(sizes, "_k").select(F.col("_k").alias("_pk"), F.col(unit).alias("_pu"), part.alias("part"))
+    there = df.withColumn("_k", _key(keys))
+    return there.join(placed, (there["_k"] == placed["_pk"]) & there[unit].eqNullSafe(placed["_pu"])).drop("_k", "_pk", "_pu")
 
 
-def remaining_parts(df: DataFrame, unit: str, seed: int, held: Column, among: list[str] | None = None, stratum: str | None = None) -> DataFrame:
+def remaining_parts(df: DataFrame, unit: str, seed: int | Column, held: Column, among: list[str] | None = None, stratum: str | None = None) -> DataFrame:
     """``held`` rows are the test part; the rest goes to train and validation, its own test share to 'unused'."""
     flagged = df.withColumn("_held", F.coalesce(held, F.lit(False)))
     parts = random_part(flagged, unit, seed, stratum, [*(among or []), "_held"])
@@ -56,25 +64,29 @@ def remaining_parts(df: DataFrame, unit: str, seed: int, held: Column, among: li
     return parts.withColumn("part", part).drop("_held")
 
 
-def held_labels(df: DataFrame, label: str, seed: int, eligible: Column, among: list[str]) -> DataFrame:
+def held_labels(df: DataFrame, label: str, seed: int | Column, eligible: Column, among: list[str]) -> DataFrame:
     """(among, label) of the labels held out: a fifth of the eligible ones, one at least, one fewer than all at most."""
     labels = df.where(eligible & F.col(label).isNotNull()).select(*among, label).distinct()
-    w = Window.partitionBy(*among) if among else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(w)
+    ranked = grouped_rank(labels, among, [hash_order(seed, label), F.col(label)], "_rn").withColumn("_k", _key(among))
+    sizes = labels.groupBy(_key(among).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
     take = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * LABEL_SHARE)))
-    rn = F.row_number().over(w.orderBy(hash_order(seed, label), label))
-    return labels.withColumn("_n", n).withColumn("_t", take).withColumn("_rn", rn).where("_n >= 2 AND _rn <= _t").select(*among, label)
+    return ranked.join(sizes, "_k").where((n >= 2) & (F.col("_rn") <= take)).select(*among, label)
 
 
 def unseen_label_parts(
-    df: DataFrame, unit: str, label: str, seed: int, control: str = "is_control", among: list[str] | None = None
+    df: DataFrame, unit: str, label: str, seed: int, control: str = "is_control", among: list[str] | None = None, with_controls: bool = False
 ) -> DataFrame:
-    """Test part: the non-control rows of held-out labels."""
+    """Test part: the rows of held-out labels, controls only if ``with_controls``.
+
+    With a label of cell state or lineage this is the split of an unseen state or lineage, whose controls are held out, too.
+    """
     among = among or []
     clean = df.withColumn("_label", normalize_label(label))
     held = held_labels(clean, "_label", seed + 2000, ~F.col(control), among).withColumn("_hit", F.lit(True))
     joined = clean.join(held, [*among, "_label"], "left")
-    return remaining_parts(joined, unit, seed, F.col("_hit") & ~F.col(control), among, control).drop("_label", "_hit")
+    hit = F.col("_hit") if with_controls else F.col("_hit") & ~F.col(control)
+    return remaining_parts(joined, unit, seed, hit, among, control).drop("_label", "_hit")
 
 
 def combination_parts(df: DataFrame, unit: str, label: str, seed: int, control: str = "is_control", among: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions.labels import components, normalize_label
 from vectrail.operators import campaign as cp
-from vectrail.operators import kernels, predictors, vectors
+from vectrail.operators import kernels, predictors, splits, vectors
 from vectrail.operators import relational as rel
 from vectrail.operators import reliability as rl
 from vectrail.plans import views as v
@@ -165,10 +165,10 @@ def j13(spark: SparkSession, root: str) -> DataFrame:
     return e.join(v.cases(spark, root).select("case_id", "run_id", "signature_id"), ["run_id", "signature_id"]).select("example_id", "case_id")
 
 
-@query("j15_id_lookup", "WITH w AS (SELECT signature_id FROM sig WHERE vec_id % 7 = 0 UNION ALL SELECT 'ds9__none') SELECT w.signature_id, s.n_cells, s.signature_id IS NULL AS missed FROM w LEFT JOIN sig s USING (signature_id)", "sig")
+@query("j15_id_lookup", "WITH w AS (SELECT signature_id FROM sig UNION ALL SELECT 'ds9__none') SELECT w.signature_id, s.n_cells, s.signature_id IS NULL AS missed FROM w LEFT JOIN sig s USING (signature_id)", "sig")
 def j15(spark: SparkSession, root: str) -> DataFrame:
     s = v.signatures(spark, root)
-    w = s.where("vec_id % 7 = 0").select("signature_id").unionByName(spark.createDataFrame([("ds9__none",)], "signature_id string"))
+    w = s.select("signature_id").unionByName(spark.createDataFrame([("ds9__none",)], "signature_id string"))
     return w.join(s.select("signature_id", "n_cells"), "signature_id", "left").withColumn("missed", F.col("n_cells").isNull())
 
 
@@ -292,15 +292,62 @@ def v25(spark: SparkSession, root: str) -> DataFrame:
     return rounded(v.pairs(spark, root).select("vec_id", F.coalesce(F.try_divide(vectors.dot("truth", "guess"), product), F.lit(0.0)).alias("cosine")))
 
 
-@query("d15_split_grid")
+def _by_label(family: str, column: str, controls: bool) -> str:
+    held = "hit" if controls else "hit AND NOT is_control"
+    return f"""SELECT '{family}__' || s.dataset_id || '__seed' || s.seed AS split_id, '{family}' AS split_family, s.seed AS o, coalesce({held}, false) AS h, is_control, signature_id
+FROM ss s LEFT JOIN (SELECT dataset_id, seed, x, true AS hit FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id, seed) AS n, row_number() OVER (PARTITION BY dataset_id, seed ORDER BY md5((2000 + seed) || '|' || x), x) AS rn
+  FROM (SELECT DISTINCT dataset_id, seed, {column} AS x FROM ss WHERE NOT is_control)) WHERE n >= 2 AND rn <= least(n - 1, greatest(1, round_even(n * 0.20::DOUBLE, 0)))) q ON q.dataset_id = s.dataset_id AND q.seed = s.seed AND q.x = s.{column}"""
+
+
+_GRID = f"""ss AS (SELECT sig.*, seed FROM sig, (SELECT unnest([0, 1, 2]) AS seed)),
+low AS (SELECT dataset_id, n_cells AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n_cells, signature_id) AS rn, greatest(1, round_even(count(*) OVER (PARTITION BY dataset_id) * 0.20::DOUBLE, 0)) AS spot FROM sig WHERE NOT is_control) WHERE rn = spot),
+f AS (SELECT 'random_split__' || dataset_id || '__seed' || seed AS split_id, 'random_split' AS split_family, seed AS o, false AS h, is_control, signature_id FROM ss
+UNION ALL {_by_label('unseen_perturbation_split', 'perturbation_label', False)}
+UNION ALL SELECT 'unseen_combination_split__' || dataset_id || '__seed' || seed, 'unseen_combination_split', seed + 3000, perturbation_label IN ('P1_P2', 'P3_P4', 'P1_P9'), is_control, signature_id FROM ss
+UNION ALL SELECT 'low_support_split__' || dataset_id || '__seed' || seed, 'low_support_split', seed + 3000, n_cells <= cutoff AND NOT is_control, is_control, signature_id FROM ss JOIN low USING (dataset_id)
+UNION ALL {_by_label('unseen_cell_state_split', 'timepoint', True)}
+UNION ALL {_by_label('unseen_cell_type_or_lineage_split', 'batch', True)}
+UNION ALL SELECT 'dataset_heldout_split__all_datasets__holdout-' || d || '__seed' || seed, 'dataset_heldout_split', seed + 3000, dataset_id = d, is_control, signature_id FROM ss, (SELECT DISTINCT dataset_id AS d FROM sig)
+UNION ALL SELECT 'external_holdout__internal_vs_external__holdout-' || d || '__seed' || seed, 'external_holdout', seed + 3000, dataset_id = d, is_control, signature_id FROM ss, ext),
+g AS (SELECT *, count(*) OVER (PARTITION BY split_id, h, is_control) AS n, row_number() OVER (PARTITION BY split_id, h, is_control ORDER BY md5(o || '|' || signature_id), signature_id) AS rn FROM f),
+k AS (SELECT *, least(n - 2, greatest(1, round_even(n * 0.15::DOUBLE, 0)))::BIGINT AS t FROM g),
+grid AS (SELECT split_id, split_family, signature_id, CASE WHEN h THEN 'test' WHEN n < 3 THEN 'train' WHEN rn <= t THEN CASE split_family WHEN 'random_split' THEN 'test' ELSE 'unused' END WHEN rn <= t + least(n - t - 1, greatest(1, round_even((n - t) * 0.1765::DOUBLE, 0))) THEN 'validation' ELSE 'train' END AS part FROM k)"""
+_EXTERNAL = "ext AS (SELECT min(dataset_id) AS d FROM preprocessing_summary WHERE external_validation_ready AND split_role LIKE 'external%')"
+_SEEDS = [0, 1, 2]
+
+
+def _split_grid(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
+    """The grid over the signatures, with their timepoint as state and their batch as lineage, and the catalog's external dataset."""
+    s = v.signatures(spark, root).select("signature_id", "dataset_id", "perturbation_label", "is_control", "n_cells", "timepoint", "batch")
+    external = splits.external_target(table(spark, root, "preprocessing_summary"))
+    return cp.split_grid(s, _SEEDS, state="timepoint", lineage="batch", external=external), external
+
+
+@query("d15_split_grid", f"WITH {_EXTERNAL}, {_GRID} SELECT split_id, signature_id, part FROM grid", "sig")
 def d15(spark: SparkSession, root: str) -> DataFrame:
-    s = cut(v.signatures(spark, root).select("signature_id", "dataset_id", "perturbation_label", "is_control", "n_cells"))
-    seeds = [0, 1, 2]
-    held = sorted(r[0] for r in s.select("dataset_id").where("dataset_id IS NOT NULL").distinct().collect())
-    # Each split is settled before the next: together they are a plan of hundreds of exchanges.
-    grid = [cut(cp.split_grid(s, [seed], [family]).select("split_id", "signature_id", "part")) for family in cp.FAMILIES for seed in seeds]
-    wide = [cut(cp.heldout_grid(s, [name], [seed])) for name in held for seed in seeds]
-    return reduce(DataFrame.unionByName, grid + wide)
+    return _split_grid(spark, root)[0].select("split_id", "signature_id", "part")
+
+
+@query("d10_state_split", f"WITH {_EXTERNAL}, {_GRID} SELECT split_id, signature_id, part FROM grid WHERE split_family IN ('unseen_cell_state_split', 'unseen_cell_type_or_lineage_split') AND ends_with(split_id, 'seed0')", "sig")
+def d10(spark: SparkSession, root: str) -> DataFrame:
+    s = v.signatures(spark, root)
+    out = [
+        splits.unseen_label_parts(s, "signature_id", label, 0, among=["dataset_id"], with_controls=True).select(F.concat_ws("__", F.lit(family), "dataset_id", F.lit("seed0")).alias("split_id"), "signature_id", "part")
+        for family, label in (("unseen_cell_state_split", "timepoint"), ("unseen_cell_type_or_lineage_split", "batch"))
+    ]
+    return out[0].unionByName(out[1])
+
+
+@query("d16_split_records", f"WITH {_EXTERNAL}, {_GRID}, n AS (SELECT split_id, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'validation') AS n_validation, count(*) FILTER (WHERE part = 'test') AS n_test FROM grid GROUP BY ALL), a AS (SELECT DISTINCT split_id, split_family FROM f) SELECT split_id, split_family, CASE WHEN n_test = 0 OR n_train = 0 THEN 'unsupported' ELSE 'ready' END AS status, CASE WHEN n_test = 0 THEN 'test mask selects no rows' WHEN n_train = 0 THEN 'test mask selects all rows' ELSE '' END AS reason, n_train, n_validation, n_test FROM a JOIN n USING (split_id)", "sig")
+def d16(spark: SparkSession, root: str) -> DataFrame:
+    grid, external = _split_grid(spark, root)
+    names = v.signatures(spark, root).select(F.col("dataset_id").alias("name")).distinct()
+    own = names.select(F.explode(F.array(*[F.lit(f) for f in cp.FAMILIES])).alias("split_family"), F.col("name").alias("scope"), F.lit("").alias("heldout_target"))
+    held = names.select(F.lit("dataset_heldout_split").alias("split_family"), F.lit("all_datasets").alias("scope"), F.col("name").alias("heldout_target"))
+    out = spark.createDataFrame([("external_holdout", "internal_vs_external", external)], "split_family string, scope string, heldout_target string")
+    asked = own.unionByName(held).unionByName(out).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in _SEEDS])))
+    stem = F.concat_ws("__", "split_family", "scope", F.when(F.col("heldout_target") != "", F.concat(F.lit("holdout-"), "heldout_target")), F.concat(F.lit("seed"), "seed"))
+    return cp.split_records(cut(grid), asked.withColumn("split_id", stem)).select("split_id", "split_family", "status", "reason", "n_train", "n_validation", "n_test")
 
 
 @query("d14_split_status", "SELECT split_id, CASE WHEN b = 0 OR a = 0 THEN 'unsupported' ELSE 'ready' END AS status, CASE WHEN b = 0 THEN 'no test rows' WHEN a = 0 THEN 'no train rows' ELSE '' END AS reason FROM (SELECT split_id, count(*) FILTER (WHERE split_part = 'train' AND NOT is_control) AS a, count(*) FILTER (WHERE split_part = 'test' AND NOT is_control) AS b FROM units GROUP BY ALL)", "units")
