@@ -175,3 +175,41 @@ def test_ranks_and_bins(spark):
     assert [r["rank"] for r in got] == list(range(1, 51)) and [r.x for r in got] == sorted(float(i % 7) for i in range(50))
     assert {r.bin for r in rel.quantile_bins(df, "x", 4).collect()} == {0, 1, 2, 3}
     assert rel.global_rank(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_findings_narrative_and_document(spark):
+    rows = [("r1", m, f, 0.8 - 0.1 * i - 0.2 * (f != "random_split"), None, None) for i, m in enumerate(["ridge_regression_baseline", "global_delta_baseline", "control_mean_baseline"]) for f in ("random_split", "external_holdout", "low_support_split")]
+    m = spark.createDataFrame(rows, "run_id string, model string, split_family string, mean_cosine double, drop double, stress_retention double")
+    decay = rp.transfer_decay(m, ["mean_cosine", "drop", "stress_retention"])
+    atlas = spark.createDataFrame([("severe_failure", "a", "x", 3, 0.6), ("transportable", "a", "x", 0, 0.4)], "failure_mode string, model string, split_family string, failure_severity int, failure_mode_share double")
+    few = {r.finding: r for r in rp.main_findings(decay, "mean_mean_cosine", atlas).collect()}
+    assert set(few) == {"F1", "F2", "F3", "F5"} and few["F5"].value == 0.6 and few["F3"].value == 0.0
+    assert few["F2"].value == 1 and few["F2"].subject == "external_holdout: ridge_regression_baseline; low_support_split: ridge_regression_baseline"
+    frame = spark.createDataFrame
+    found = rp.main_findings(
+        decay, "mean_mean_cosine", atlas,
+        frame([("full", "random_forest", -0.2), ("naive", "naive_confidence", 0.0)], "ablation string, estimator string, false_rate_delta_vs_naive double"),
+        frame([(True,), (False,)], "reject_fdr_0_05 boolean"), frame([("m", "low_support_split", 0.7), ("m", "random_split", 0.9)], "model string, split_family string, difficulty_index double"),
+        frame([(0.5,), (0.7,)], "pathway_cosine double"), frame([(1.0,), (0.0,)], "top1 double"), frame([(True,), (True,), (False,)], "target_or_label boolean"),
+    )
+    got = {r.finding: r.value for r in found.collect()}
+    assert set(got) == {f"F{i}" for i in range(1, 11)}
+    assert (got["F4"], got["F6"], got["F7"], got["F9"], got["F10"]) == (0.2, 1.0, 0.7, 0.5, 2.0) and got["F8"] == pytest.approx(0.6)
+    text = rp.narrative(found, decay, "mean_mean_cosine")
+    assert "low_support_split" in text and "`random_split`: `ridge_regression_baseline` (0.8000)" in text
+    with pytest.raises(ValueError):
+        rp.bounded("A clinical result")
+    records = frame([("random_split", "d", "ready"), ("random_split", "d", "unsupported")], "split_family string, scope string, status string")
+    assert "| random_split | rows at random | d | 1 | 1 |" in rp.benchmark_document(records)
+
+
+def test_vectors_in_their_gene_space(spark):
+    from vectrail.operators import campaign as cp
+
+    grid = spark.createDataFrame([("a", "random_split", "s1", "train"), ("b", "external_holdout", "s1", "test"), ("b", "external_holdout", "s2", "train")], "split_id string, split_family string, signature_id string, part string")
+    sig = spark.createDataFrame([("s1", "d1", [1.0, 2.0, 3.0]), ("s2", "d2", [4.0, 5.0, 6.0])], "signature_id string, dataset_id string, delta array<double>")
+    spaces = spark.createDataFrame([("d1", 0), ("d1", 2), ("d2", 1), ("d2", 2)], "dataset_id string, pos int")
+    got = {(r.split_id, r.signature_id): r.vector for r in cp.materialise(grid, sig, spaces, "delta").collect()}
+    assert got == {("a", "s1"): [1.0, 3.0], ("b", "s1"): [3.0], ("b", "s2"): [6.0]}
+    with pytest.raises(Exception, match="lacks positions"):
+        cp.materialise(grid, sig, spaces.unionByName(spark.createDataFrame([("d1", 9)], spaces.schema)), "delta").collect()

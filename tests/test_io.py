@@ -82,3 +82,65 @@ def test_stream_keeps_latest(spark, tmp_path):
     put([("a", "2026-01-01 02:00:00", "cached"), ("b", "2026-01-01 00:30:00", "failed")])
     keep_latest(read_registry_stream(spark, src, schema), out, str(tmp_path / "cp")).awaitTermination(120)
     assert {(r.run_id, r.status) for r in spark.read.parquet(f"{out}/v=1").collect()} == {("a", "cached"), ("b", "success")}
+
+
+def test_npz_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from vectrail.sources.arrays import read_npz, write_npz, write_split_pickle
+
+    rows = [(i, [float(i), i + 0.5, -1.0]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "i int, v array<float>").repartition(3)
+    at = str(tmp_path / "one.npz")
+    assert write_npz(df, at, "v", ["i"]) == (2500, 3)
+    back = read_npz(spark, at).orderBy("row").collect()
+    assert [r.vector for r in back] == [v for _, v in rows] and [r.row for r in back] == list(range(2500))
+    np.savez(tmp_path / "two.npz", a=np.ones(4), b=np.zeros((0, 4)))
+    assert read_npz(spark, str(tmp_path / "two.npz"), "a").first().vector == [1.0] * 4
+    assert read_npz(spark, str(tmp_path / "two.npz"), "b").count() == 0
+    for bad in (None, "c"):
+        with pytest.raises(Exception, match="name one|no array"):
+            read_npz(spark, str(tmp_path / "two.npz"), bad).collect()
+    with pytest.raises(ValueError):
+        write_npz(df, at, "v", ["i"], most=10)
+    assert write_npz(df.limit(0), str(tmp_path / "none.npz"), "v", ["i"]) == (0, 0)
+    write_split_pickle({"train": ["b", "a"]}, str(tmp_path / "s.pkl"))
+    import pickle
+
+    assert pickle.loads((tmp_path / "s.pkl").read_bytes()) == {"train": ["a", "b"], "val": [], "test": []}
+
+
+def test_campaign_records_and_resumes(spark, tmp_path):
+    from vectrail import runner
+
+    at, seen = str(tmp_path / "registry"), []
+
+    def work(job):
+        seen.append(job["run_id"])
+        if job["run_id"] == "b":
+            raise ValueError("no such split")
+        return 7
+
+    log = runner.run_logger(str(tmp_path / "run.log"))
+    jobs = [{"run_id": "c", "g": 2}, {"run_id": "b", "g": 1}, {"run_id": "a", "g": 1}, {"run_id": "d", "g": 3, "needs": ["no_such_package"]}]
+    rows = {r["run_id"]: r for r in runner.campaign(spark, jobs, at, work, most=3, group="g", log=log)}
+    assert seen == ["a", "b", "c"] and rows["a"]["status"] == "success" and rows["a"]["rows"] == 7
+    assert rows["b"]["status"] == "failed" and "no such split" in rows["b"]["notes"]
+    seen.clear()
+    again = {r["run_id"]: r["status"] for r in runner.campaign(spark, jobs, at, work, group="g")}
+    assert seen == ["b"] and again == {"b": "failed", "d": "blocked"}
+    assert {r.run_id for r in runner.completed(spark, at).collect()} == {"a", "c"} and spark.read.parquet(at).count() == 5
+    assert "a success" in (tmp_path / "run.log").read_text() and runner.run_logger(str(tmp_path / "run.log")) is log
+    assert runner.progress_bar(3, 6, 4) == "[##..] 3/6" and runner.environment(["numpy", "no_such_package"])["no_such_package"] == "absent"
+    assert runner.campaign(spark, [], at, work) == []
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from vectrail import runner
+
+    assert runner.main([]) == 0 and "slice_global_delta" in capsys.readouterr().out
+    out, registry = str(tmp_path / "out"), str(tmp_path / "registry")
+    assert runner.main(["s5_schema", small, out, "--registry", registry]) == 0
+    assert spark.read.parquet(out).count() == spark.read.parquet(registry).first().rows
+    with pytest.raises(SystemExit):
+        runner.main(["no_such_query", small, out])

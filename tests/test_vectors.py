@@ -74,16 +74,49 @@ def test_ridge_is_primal_ridge():
         assert np.allclose(got, (q - x.mean(0)) @ b + y.mean(0))
 
 
-def test_rank_test():
-    assert kernels.wilcoxon_p(np.array([0.0, 0.0])) == 1 and kernels.wilcoxon_p(np.array([1.0])) == 1
-    assert kernels.wilcoxon_p(np.arange(1.0, 6.0)) == pytest.approx(2 / 32)
+def rank_test(spark, d):
+    df = spark.createDataFrame([("a", "b", float(x)) for x in d] + [("a", "c", None)], "model_a string, model_b string, diff double")
+    rows = kernels.rank_tests(df, ["model_a", "model_b"], "diff").collect()
+    assert [(r.model_b, r.n_pairs) for r in rows] == [("b", len(d))]
+    assert rows[0].median_diff == pytest.approx(float(np.median(d)))
+    return rows[0].p_value_raw
+
+
+def test_rank_test(spark):
     import itertools
+    import math
 
+    assert rank_test(spark, [0.0, 0.0]) == 1 and rank_test(spark, [1.0]) == 1
+    assert rank_test(spark, range(1, 6)) == pytest.approx(2 / 32)
     d = np.array([1.5, -0.5, 2.5, 3.5, -1.0, 4.0])
     ranks = np.argsort(np.argsort(np.abs(d))) + 1
     obs = min(ranks[d > 0].sum(), ranks[d < 0].sum())
     n = sum(sum(r for r, s in zip(ranks, signs) if s) <= obs for signs in itertools.product([0, 1], repeat=6))
-    assert kernels.wilcoxon_p(d) == pytest.approx(min(1, 2 * n / 64))
+    assert rank_test(spark, d) == pytest.approx(min(1, 2 * n / 64))
+    # Ties and zeros: the normal approximation with the correction for ties.
+    d = [1, 1, 2, -1, 0, 3, 3, -2]
+    ranks = [2, 2, 4.5, 2, 6.5, 6.5, 4.5]
+    plus, var = 2 + 2 + 4.5 + 6.5 + 6.5, 7 * 8 * 15 / 24 - (24 + 6 + 6) / 48
+    assert sum(ranks) == 28 and rank_test(spark, d) == pytest.approx(math.erfc(abs(plus - 14) / math.sqrt(var) / math.sqrt(2)))
+
+
+def test_blocks_agree_with_whole_runs(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [("r", i, f"l{i % 5}", r.normal(size=3).tolist(), r.normal(size=3).tolist()) for i in range(60)] + [("q", 99, "l", [1.0, 0.0, 0.0], [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "run string, id long, l string, t array<double>, p array<double>")
+    whole = vectors.retrieval(df, "run", "id", "l", "t", "p").orderBy("run", "id").collect()
+    far = {x.run: x.energy_distance for x in kernels.energy_distances(df, "run", "id", "t", "p").collect()}
+    monkeypatch.setattr(kernels, "BLOCK", 7)
+    assert vectors.retrieval(df, "run", "id", "l", "t", "p").orderBy("run", "id").collect() == whole
+    x, y = np.array([v[3] for v in rows[:60]]), np.array([v[4] for v in rows[:60]])
+    for got in (far, {v.run: v.energy_distance for v in kernels.energy_distances(df, "run", "id", "t", "p").collect()}):
+        assert got["r"] == pytest.approx(kernels.energy_distance(x, y)) and got["q"] == pytest.approx(2.0)
+
+
+def test_transport_between_unequal_sizes():
+    x, y = np.array([[0.0], [1.0]]), np.array([[0.0], [0.0], [1.0]])
+    assert kernels.sliced_wasserstein(x, y) == pytest.approx(1 / 6)
+    assert kernels.sliced_wasserstein(x, np.repeat(x, 3, axis=0)) == pytest.approx(0.0, abs=1e-12)
 
 
 def test_distances():

@@ -106,7 +106,8 @@ def build_examples(cases: DataFrame, units: DataFrame, run_context: DataFrame, f
     kept = targets(cases.where(F.col("split_family").isin(families)), threshold)
     features = support_features(units)
     drop = [c for c in features.columns if c in kept.columns and c not in ("split_id", "signature_id")]
-    once = features.drop(*drop).dropDuplicates(["split_id", "signature_id"])
+    once = features.drop(*drop)
+    once = once.groupBy("split_id", "signature_id").agg(*[F.max(c).alias(c) for c in once.columns if c not in ("split_id", "signature_id")])  # a signature placed twice
     extra = run_context.drop(*[c for c in run_context.columns if c in kept.columns and c != "run_id"])
     return kept.join(once, ["split_id", "signature_id"], "left").join(extra, "run_id", "left")
 
@@ -150,3 +151,40 @@ def first_label_column(df: DataFrame, candidates: list[str], kinds: int = 2) ->
         return None
     row = df.agg(*[F.countDistinct(normalize_label(c)).alias(c) for c in present]).first()
     return next((c for c in present if row[c] >= kinds), None)
+
+
+def existing_columns(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[list[str], list[str]]:
+    """Those of the wanted columns that ``df`` has with a fitting type."""
+    kinds = dict(df.dtypes)
+    is_number = lambda c: kinds[c].startswith(("double", "float", "decimal", "tinyint", "smallint", "int", "bigint", "boolean"))
+    return [c for c in numeric if c in kinds and is_number(c)], [c for c in categorical if c in kinds and not is_number(c)]
+
+
+RUN_SPEC = {
+    "run_id": "string", "model": "string", "split_json_path": "string", "split_family": "string", "dataset_scope": "string", "seed": "int",
+    "heldout_target": "string", "gene_space_policy": "string", "expected_gene_count": "int", "output_dir": "string", "log_file": "string",
+}
+
+
+def run_specs(runs: DataFrame) -> DataFrame:
+    """Manifest rows under one schema; a missing held-out target is '', a missing gene count 0."""
+    defaults = {"heldout_target": F.lit(""), "expected_gene_count": F.lit(0)}
+    at = lambda c: F.col(c) if c in runs.columns else F.lit(None)
+    return runs.select(*[F.coalesce(at(c).cast(t), defaults[c].cast(t)).alias(c) if c in defaults else at(c).cast(t).alias(c) for c, t in RUN_SPEC.items()])
+
+
+def materialise(grid: DataFrame, signatures: DataFrame, spaces: DataFrame, vector: str, dataset: str = "dataset_id") -> DataFrame:
+    """(split_id, split_family, signature_id, part, vector): split rows with their vectors in the split's gene space.
+
+    Splits that mix datasets take the positions every dataset has, others the dataset's own; ``spaces`` is (dataset, pos).
+    Positions are kept in order, one short list a dataset, so vectors are cut where they stand.
+    """
+    n = spaces.select(dataset).distinct().count()
+    shared = spaces.groupBy("pos").agg(F.countDistinct(dataset).alias("_n")).where(F.col("_n") == n).agg(F.array_sort(F.collect_list("pos")).alias("p")).first()["p"]  # one gene space
+    own = spaces.groupBy(dataset).agg(F.array_sort(F.collect_set("pos")).alias("_own"))
+    rows = grid.select("split_id", "split_family", "signature_id", "part").join(signatures, "signature_id").join(own, dataset, "left")
+    mixed = F.col("split_family").isin("dataset_heldout_split", "external_holdout")
+    keep = F.when(mixed, F.array(*[F.lit(int(p)) for p in shared or []]).cast("array<int>")).otherwise(F.col("_own").cast("array<int>"))
+    short = F.array_max(keep) >= F.size(vector)
+    cut_down = F.when(short, F.raise_error(F.lit("a vector lacks positions of its gene space")).cast("array<double>")).otherwise(F.transform(keep, lambda i: F.get(F.col(vector), i)))
+    return rows.select("split_id", "split_family", "signature_id", "part", cut_down.alias("vector"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.operators.kernels import rank_tests
+from vectrail.operators.vectors import cosine, pathway_fidelity, retrieval
+from vectrail.session import scratch
 from vectrail.operators.relational import grouped_quantiles, benjamini_hochberg, clip, first_per, min_rank, trapezoid
 from vectrail.operators.vectors import EPS
 
@@ -133,10 +137,9 @@ def model_pairs(metrics: DataFrame, value: str, context: list[str]) -> DataFrame
 
 def pairwise_comparisons(metrics: DataFrame, values: list[str], context: list[str]) -> DataFrame:
     """Signed-rank tests of all model pairs and metrics, corrected together."""
-    tests = None
-    for v in values:
-        t = rank_tests(model_pairs(metrics, v, context), ["model_a", "model_b"], "diff").withColumn("metric", F.lit(v))
-        tests = t if tests is None else tests.unionByName(t)
+    metrics = scratch(metrics.select(*context, "model", *values))
+    pairs = reduce(DataFrame.unionByName, [model_pairs(metrics, v, context).withColumn("metric", F.lit(v)) for v in values])
+    tests = scratch(rank_tests(pairs, ["metric", "model_a", "model_b"], "diff"))
     return benjamini_hochberg(tests, "p_value_raw", ["metric", "model_a", "model_b"]).withColumnRenamed("reject", "reject_fdr_0_05")
 
 
@@ -172,3 +175,18 @@ def metric_fallback(table_value: Column, payload: Column, name: str) -> list[Col
     nested = F.get_json_object(payload, f"$.metrics.{name}").cast("double")
     source = F.when(table_value.isNotNull(), "table").when(top.isNotNull(), "payload").when(nested.isNotNull(), "payload.metrics")
     return [F.coalesce(table_value, top, nested).alias(name), source.alias(f"{name}_source")]
+
+
+def vector_risk(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """``df`` with the cosine of truth and guess and the risk, its distance from 1."""
+    scored = df.withColumn("cosine", cosine(truth, guess))
+    return scored.withColumn("risk", 1 - F.col("cosine"))
+
+
+def biology_summary(df: DataFrame, run: str, key: str, label: str, truth: str, guess: str, sets: DataFrame) -> DataFrame:
+    """Per run the mean fidelity of pathway profiles and the mean retrieval of the right label."""
+    df = scratch(df.select(run, key, label, truth, guess))
+    fidelity = pathway_fidelity(df, [run, key], truth, guess, sets)
+    found = retrieval(df, run, key, label, truth, guess)
+    columns = ("pathway_cosine", "pathway_direction", "top1", "top5", "top10")
+    return fidelity.join(found, [run, key]).groupBy(run).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])

@@ -7,12 +7,17 @@ are distributed, and nothing reaches the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.operators.relational import grouped_quantiles, grouped_running
+from vectrail.session import scratch
+
 EPS = 1e-8
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
@@ -51,20 +56,14 @@ def one_hot(train: pd.DataFrame, other: pd.DataFrame, columns: list[str]) -> tup
     return np.hstack(a), np.hstack(b)
 
 
-def wilcoxon_p(d: np.ndarray) -> float:
-    """Two-sided signed-rank test: exact for up to 50 differences without ties or zeros, else the normal approximation."""
-    d = np.asarray(d, float)
-    d = d[np.isfinite(d)]
-    if len(d) < 2 or np.allclose(d, 0.0):
+def signed_rank_p(n: int, plus: float, ties: float, zeros: bool) -> float:
+    """Two-sided signed-rank test of ``n`` differences other than zero, whose positive ones have the rank sum ``plus``.
+
+    Exact for up to 50 differences without ties or zeros, else the normal approximation; ``ties`` is the sum of
+    t^3 - t over groups of t equal sizes.
+    """
+    if n < 1:
         return 1.0
-    zeros = (d == 0).any()
-    d = d[d != 0]
-    n = len(d)
-    size = np.abs(d)
-    order = np.sort(size)
-    ranks = np.array([(np.searchsorted(order, s, "left") + np.searchsorted(order, s, "right") + 1) / 2 for s in size])
-    plus = ranks[d > 0].sum()
-    ties = len(np.unique(size)) < n
     if n <= 50 and not ties and not zeros:
         counts = np.zeros(n * (n + 1) // 2 + 1)
         counts[0] = 1.0
@@ -72,25 +71,42 @@ def wilcoxon_p(d: np.ndarray) -> float:
             counts[r:] = counts[r:] + counts[:-r].copy()
         tail = min(plus, n * (n + 1) / 2 - plus)
         return float(min(1.0, 2.0 * counts[: int(tail) + 1].sum() / 2.0**n))
-    _, t = np.unique(size, return_counts=True)
     mean = n * (n + 1) / 4.0
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - (t**3 - t).sum() / 48.0
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
     if var <= 0:
         return 1.0
     return float(math.erfc(abs(plus - mean) / math.sqrt(var) / math.sqrt(2.0)))
 
 
 def rank_tests(pairs: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """(keys, n_pairs, mean_diff, median_diff, p_value_raw) of the matched differences of each group."""
-    kinds = dict(pairs.dtypes)
+    """(keys, n_pairs, mean_diff, median_diff, p_value_raw) of the matched differences of each group.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[diff].to_numpy(float)
-        head = pdf[keys].iloc[:1].reset_index(drop=True)
-        return head.assign(n_pairs=len(d), mean_diff=d.mean(), median_diff=float(np.median(d)), p_value_raw=wilcoxon_p(d))
+    Ranks, sums and medians are distributed however many differences a group has; only one row of sums a group
+    reaches Python.  Fewer than two differences, or none other than zero, give 1.
+    """
+    rows = scratch(pairs.where(F.col(diff).isNotNull() & ~F.isnan(diff)).select(*keys, F.col(diff).cast("double").alias("_d")))
+    kinds = dict(pairs.dtypes)
+    flat = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("_d").alias("mean_diff"), F.count_if(F.col("_d") == 0).alias("_zeros"), F.max(F.abs("_d")).alias("_far")
+    )
+    counts = rows.where("_d <> 0").groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col("_d") > 0).alias("_up"))
+    upto = grouped_running(counts, keys, [F.col("_size")], {"_upto": F.col("_c")})
+    c = F.col("_c").cast("double")
+    sums = upto.groupBy(*keys).agg(
+        F.sum("_c").alias("_n"), F.sum(F.col("_up") * (F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0))).alias("_plus"), F.sum(c * c * c - c).alias("_ties")
+    )
+    median = grouped_quantiles(rows, keys, "_d", [0.5]).select(*keys, F.col("quantile").alias("median_diff"))
+    # Keys are never null: model pairs match on equal, known contexts.
+    table = flat.join(sums, keys, "left").join(median, keys, "left")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            stats = pdf[["n_pairs", "_far", "_n", "_plus", "_ties", "_zeros"]].fillna(0).to_numpy(float)
+            p = [1.0 if n < 2 or far <= 1e-8 else signed_rank_p(int(k), plus, ties, zeros > 0) for n, far, k, plus, ties, zeros in stats]
+            yield pdf[[*keys, "n_pairs", "mean_diff", "median_diff"]].assign(p_value_raw=p)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_pairs long, mean_diff double, median_diff double, p_value_raw double"
-    return pairs.where(F.col(diff).isNotNull()).select(*keys, diff).groupBy(*keys).applyInPandas(one, schema)
+    return table.mapInPandas(finish, schema)
 
 
 def embedding(train: np.ndarray, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +148,45 @@ def sliced_wasserstein(x: np.ndarray, y: np.ndarray, directions: int = 128, seed
     d = np.random.default_rng(seed).normal(size=(directions, x.shape[1]))
     d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), EPS)
     px, py = np.sort(x @ d.T, axis=0), np.sort(y @ d.T, axis=0)
-    if len(px) != len(py):
-        q = (np.arange(2000) + 0.5) / 2000
-        px, py = np.quantile(px, q, axis=0), np.quantile(py, q, axis=0)
-    return float(np.abs(px - py).mean())
+    # The area between the two quantile functions, which are flat between multiples of 1/n and of 1/m.
+    edges = np.union1d(np.arange(1, len(px) + 1) / len(px), np.arange(1, len(py) + 1) / len(py))
+    width = np.diff(edges, prepend=0.0)
+    at = lambda q: np.minimum(np.ceil((edges - width / 2) * len(q)).astype(int) - 1, len(q) - 1)
+    return float((np.abs(px[at(px)] - py[at(py)]) * width[:, None]).sum(0).mean())
+
+
+BLOCK = 1024
+
+
+def blocks(df: DataFrame, run: str, key: str, columns: list[str]) -> DataFrame:
+    """(run, block, rows): each run's rows in blocks of about ``BLOCK`` by the hash of their key."""
+    sizes = df.groupBy(run).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("_b"))
+    placed = df.join(sizes, run).withColumn("block", F.pmod(F.xxhash64(key), F.col("_b")))
+    return placed.groupBy(run, "block").agg(F.collect_list(F.struct(key, *[c for c in columns if c != key])).alias("rows"))  # a block, not a group
+
+
+def energy_distances(df: DataFrame, run: str, key: str, truth: str, guess: str) -> DataFrame:
+    """(run, energy_distance) of truths against guesses; a task holds two blocks, whatever a run's size."""
+    cut_up = blocks(df.select(run, key, F.col(truth).alias("t"), F.col(guess).alias("p")), run, key, [key, "t", "p"])
+    kind = dict(df.dtypes)[run]
+    a, b = cut_up.withColumnsRenamed({"block": "i", "rows": "a"}), cut_up.withColumnsRenamed({"block": "j", "rows": "b"})
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, j, left, right in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
+                m = [np.array([r[c] for r in rows], float) for rows in (left, right) for c in ("t", "p")]
+                between = lambda x, y: np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0.0)).sum()
+                alone = lambda x: sum(np.linalg.norm(x[k + 1 :] - x[k], axis=1).sum() for k in range(len(x) - 1))
+                tt, pp = (alone(m[0]), alone(m[1])) if i == j else (between(m[0], m[2]), between(m[1], m[3])) if i < j else (0.0, 0.0)
+                out.append((between(m[0], m[3]), tt, pp, len(left) if i == j else 0))
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.float64()) for c in cols[:3]], pa.array(list(cols[3]), pa.int64())], names=["r", "tp", "tt", "pp", "n"])
+
+    parts = a.join(b, run).select(F.col(run).alias("r"), "i", "j", "a", "b").mapInArrow(run_pairs, f"r {kind}, tp double, tt double, pp double, n long")
+    n = F.sum("n").cast("double")
+    within = lambda c: F.coalesce(F.try_divide(F.sum(c), n * (n - 1) / 2), F.lit(0.0))
+    return parts.groupBy(F.col("r").alias(run)).agg(F.greatest(F.lit(0.0), 2 * F.sum("tp") / (n * n) - within("tt") - within("pp")).alias("energy_distance"))
 
 
 def distribution_distances(df: DataFrame, run: str, part: str, truth: str, guess: str, control: str, least: tuple[int, int] = (10, 5)) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.operators.evaluate import family_summary
@@ -102,20 +104,121 @@ def split_difficulty(metrics: DataFrame, value: str, examples: DataFrame) -> Dat
     return m.withColumn("difficulty_interpretation", read).drop("_s", "_scaled", "_spread", "_far")
 
 
-def main_findings(decay: DataFrame, value: str, atlas: DataFrame) -> DataFrame:
-    """(finding, subject, value): hardest stress family, number of winners, worst failure; each a one-row pick."""
+# The regimes in which the ridge model's rank is looked at, and the terms no narrative may hold.
+TRANSFER = ["dataset_heldout_split", "external_holdout"]
+RIDGE = "ridge_regression_baseline"
+FORBIDDEN_TERMS = ["clinical", "wet-lab", "universal-best-model", "drug discovery", "final truth"]
+
+
+def main_findings(
+    decay: DataFrame, value: str, atlas: DataFrame, scores: DataFrame | None = None, pairwise: DataFrame | None = None, difficulty: DataFrame | None = None,
+    pathway: DataFrame | None = None, retrieval: DataFrame | None = None, audit: DataFrame | None = None,
+) -> DataFrame:
+    """(finding, metric, subject, value): up to ten findings, each a one-row pick or count; those whose table is missing are left out.
+
+    F1 hardest stress family, F2 models that win a family, F3 the ridge model's rank shift in transfer, F4 best gain over
+    the naive scores, F5 gravest failure, F6 comparisons that hold after correction, F7 highest difficulty,
+    F8 mean pathway cosine, F9 mean top-1 retrieval, F10 outcome columns kept from the classifier.
+    """
     real = decay.where(F.col("model") != CONTROL_MODEL)
     stress = real.where(F.col("split_family") != ANCHOR)
+    found = []
+
+    def add(finding: str, metric: str, rows: DataFrame, subject: Column, x: Column) -> None:
+        found.append(rows.select(F.lit(finding).alias("finding"), F.lit(metric).alias("metric"), subject.cast("string").alias("subject"), x.cast("double").alias("value")))
+
     hardest = stress.groupBy("split_family").agg(F.avg(value).alias("v")).orderBy(F.col("v").asc_nulls_last(), "split_family").limit(1)
-    winners = real.where("family_winner").agg(F.countDistinct("model").cast("double").alias("v"))
+    add("F1", value, hardest, F.col("split_family"), F.col("v"))
+    named = F.when(F.col("split_family") != ANCHOR, F.concat_ws(": ", "split_family", "model"))
+    winners = real.where("family_winner").agg(F.countDistinct("model").alias("v"), F.concat_ws("; ", F.array_sort(F.collect_set(named))).alias("s"))  # one row a family
+    add("F2", "family_rank", winners, F.col("s"), F.col("v"))
+    ridge = real.where((F.col("model") == RIDGE) & F.col("split_family").isin(TRANSFER)).agg(F.count(F.lit(1)).alias("n"), F.avg("rank_change_vs_random").alias("v")).where("n > 0")
+    add("F3", "rank_change_vs_random", ridge, F.lit(RIDGE), F.col("v"))
+    if scores is not None:
+        gain = -F.col("false_rate_delta_vs_naive")
+        best = scores.where((F.col("estimator") != "naive_confidence") & gain.isNotNull()).orderBy(gain.desc(), "ablation", "estimator").limit(1)
+        add("F4", "false_rate_gain_vs_naive", best, F.concat_ws(" / ", "ablation", "estimator"), gain)
     worst = atlas.where("failure_severity > 0").orderBy(F.col("failure_severity").desc(), F.col("failure_mode_share").desc(), "model", "split_family", "failure_mode").limit(1)
-    return (
-        hardest.select(F.lit("hardest_stress_family").alias("finding"), F.col("split_family").alias("subject"), F.col("v").alias("value"))
-        .unionByName(winners.select(F.lit("winning_models").alias("finding"), F.lit("all families").alias("subject"), F.col("v").alias("value")))
-        .unionByName(worst.select(F.lit("gravest_failure").alias("finding"), F.concat_ws(" / ", "failure_mode", "model", "split_family").alias("subject"), F.col("failure_mode_share").alias("value")))
+    add("F5", "failure_mode_share", worst, F.concat_ws(" / ", "failure_mode", "model", "split_family"), F.col("failure_mode_share"))
+    if pairwise is not None:
+        add("F6", "n_fdr_significant", pairwise.agg(F.count_if("reject_fdr_0_05").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit("pairwise tests"), F.col("v"))
+    if difficulty is not None:
+        top = difficulty.where(F.col("split_family") != ANCHOR).orderBy(F.col("difficulty_index").desc_nulls_last(), "split_family", "model").limit(1)
+        add("F7", "difficulty_index", top, F.col("split_family"), F.col("difficulty_index"))
+    if pathway is not None:
+        add("F8", "mean_pathway_cosine", pathway.agg(F.avg("pathway_cosine").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit("pathway profiles"), F.col("v"))
+    if retrieval is not None:
+        add("F9", "retrieval_top1", retrieval.agg(F.avg("top1").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit("retrieval"), F.col("v"))
+    if audit is not None:
+        add("F10", "n_outcome_columns", audit.agg(F.count_if("target_or_label").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0"), F.lit("feature audit"), F.col("v"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def bounded(text: str) -> str:
+    """``text`` if it holds none of the terms no narrative may hold; raises otherwise."""
+    held = [t for t in FORBIDDEN_TERMS if t in text.lower()]
+    if held:
+        raise ValueError("the narrative claims too much: " + ", ".join(held))
+    return text
+
+
+_SENTENCES = {
+    "F1": "The hardest stress family is `{s}`, with a mean of {v:.4f} over the models that predict an effect.",
+    "F2": "{v:.0f} models win at least one family ({s}).",
+    "F3": "In transfer to other datasets the rank of `{s}` changes by {v:.2f} on average.",
+    "F4": "Of the fitted scores, {s} lowers the rate of false acceptance most, by {v:.4f} against the plain confidence.",
+    "F5": "The gravest recurring failure is {s}, a share of {v:.4f} of its model's signatures there.",
+    "F6": "{v:.0f} comparisons of models hold after correction for their number.",
+    "F7": "By support, novelty and distance together, `{s}` is the most difficult family (index {v:.4f}).",
+    "F8": "The mean cosine of pathway profiles is {v:.4f}.",
+    "F9": "The right label comes first in retrieval for a share of {v:.4f} of predictions.",
+    "F10": "{v:.0f} outcome columns are kept from the classifier.",
+}
+
+
+def narrative(findings: DataFrame, decay: DataFrame, value: str) -> str:
+    """The findings as a short Markdown text with the winners of each family, kept to what the tables show."""
+    rows = {r.finding: r for r in findings.collect()}  # ten rows
+    lines = ["# Findings", ""]
+    lines += [f"- {_SENTENCES[k].format(s=rows[k].subject, v=float('nan') if rows[k].value is None else rows[k].value)}" for k in _SENTENCES if k in rows]
+    won = decay.where(F.col("family_winner") & (F.col("model") != CONTROL_MODEL)).orderBy("split_family", "model").collect()  # one row a family
+    lines += ["", "## Winners", ""] + [f"- `{r.split_family}`: `{r.model}` ({'NA' if r[value] is None else format(r[value], '.4f')})" for r in won]
+    lines += ["", "All of this describes the datasets and models that were run, and no others."]
+    return bounded("\n".join(lines) + "\n")
+
+
+def supported_splits(records: DataFrame) -> DataFrame:
+    """(split_family, scope, n_ready, n_unsupported) of the splits that were asked for."""
+    return records.groupBy("split_family", "scope").agg(
+        F.count_if(F.col("status") == "ready").alias("n_ready"), F.count_if(F.col("status") == "unsupported").alias("n_unsupported")
     )
 
 
+def benchmark_document(records: DataFrame, title: str = "Benchmark") -> str:
+    """The benchmark's definition as Markdown: what is held out in each family, and where it could be."""
+    held = {
+        "random_split": "rows at random", "unseen_perturbation_split": "perturbation labels", "unseen_combination_split": "combinations of perturbations",
+        "low_support_split": "rows of little support", "unseen_cell_state_split": "cell states", "unseen_cell_type_or_lineage_split": "cell types or lineages",
+        "dataset_heldout_split": "whole datasets, each in turn", "external_holdout": "the external dataset",
+    }
+    rows = supported_splits(records).orderBy("split_family", "scope").collect()  # one row a family and scope
+    lines = [f"# {title}", "", "| Family | Held out | Scope | Ready | Unsupported |", "|---|---|---|---|---|"]
+    lines += [f"| {r.split_family} | {held.get(r.split_family, '')} | {r.scope} | {r.n_ready} | {r.n_unsupported} |" for r in rows]
+    return "\n".join(lines) + "\n"
+
+
+def method_comparison(spark: SparkSession) -> DataFrame:
+    """(model, learns_from, uses_label, uses_context, tuned_on_validation, confidence_from) of the models here."""
+    rows = [
+        ("control_mean_baseline", "nothing", False, False, False, "none"),
+        ("global_delta_baseline", "train mean", False, False, False, "reference similarity and support"),
+        ("perturbation_mean_delta_baseline", "means of labels and their components", True, False, False, "reference similarity and label support"),
+        ("cell_context_knn_delta_baseline", "nearest contexts of the label", True, True, True, "similarity of the neighbours"),
+        ("ridge_regression_baseline", "profile and categories", True, True, True, "nearest train row and penalty"),
+    ]
+    return spark.createDataFrame(rows, "model string, learns_from string, uses_label boolean, uses_context boolean, tuned_on_validation boolean, confidence_from string")
+
+
 def screen_validation(metrics: DataFrame, datasets: DataFrame, value: str) -> DataFrame:
     """Per held-out dataset: completed runs, models, seeds, mean, and the best model; datasets without runs are listed."""
     held = metrics.where("split_family = 'dataset_heldout_split'")

@@ -225,34 +225,41 @@ def pathway_fidelity(df: DataFrame, keys: list[str], truth: str, guess: str, set
 def retrieval(df: DataFrame, run: str, key: str, label: str, truth: str, guess: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(run, key, top1, ...): whether a truth of the right label is among the k nearest to the guess.
 
-    Guesses meet the truths of their own run only.  A run's truths travel as one
-    matrix and each guess row needs one product with it; a run is one evaluation's
-    test part, whose size the split fixes.
+    Guesses meet the truths of their own run only, a block of guesses with a block of truths at a time, and each
+    block pair passes on its nearest few; a run of any size is spread over the cluster.
     """
-    sub = df.select(F.col(run).alias("_r"), F.col(key).alias("_k"), F.col(label).alias("_l"), as_double(truth).alias("_t"), as_double(guess).alias("_p"))
-    kinds = dict(df.dtypes)
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_k")
-        t = np.array(table.column("_t").to_pylist(), float)
-        p = np.array(table.column("_p").to_pylist(), float)
-        labels = np.array(table.column("_l").to_pylist(), object)
-        nt, np_ = np.linalg.norm(t, axis=1), np.linalg.norm(p, axis=1)
-        deep = min(max(ks), len(t))
-        top = np.empty((len(t), deep), int)
-        for lo in range(0, len(t), 1024):
-            hi = min(lo + 1024, len(t))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sim = (p[lo:hi] @ t.T) / (np_[lo:hi, None] * nt[None, :])
-            sim = np.round(np.where(np.isfinite(sim), sim, -1.0), 9)
-            top[lo:hi] = np.argsort(-sim, axis=1, kind="stable")[:, :deep]
-        right = labels[top] == labels[:, None]
-        return pa.table(
-            {"r": table.column("_r"), "k": table.column("_k"), **{f"top{k}": pa.array(right[:, :k].any(1).astype(float)) for k in ks}}
-        )
-
-    schema = f"r {kinds[run]}, k {kinds[key]}, " + ", ".join(f"top{k} double" for k in ks)
-    return sub.groupBy("_r").applyInArrow(one, schema).withColumnsRenamed({"r": run, "k": key})
+    from vectrail.operators.kernels import blocks
+
+    sub = df.select(F.col(run).alias("_r"), F.col(key).alias("k"), F.col(label).alias("l"), as_double(truth).alias("t"), as_double(guess).alias("p"))
+    cut_up = blocks(sub, "_r", "k", ["k", "l", "t", "p"])
+    pairs = cut_up.select("_r", F.col("rows").alias("a")).join(cut_up.select("_r", F.col("rows").alias("b")), "_r")
+    kinds, deep = dict(df.dtypes), max(ks)
+
+    def meet(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for r, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                right.sort(key=lambda x: x["k"])
+                p, t = np.array([x["p"] for x in left], float), np.array([x["t"] for x in right], float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = (p @ t.T) / (np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(t, axis=1)[None, :])
+                sim = np.round(np.where(np.isfinite(sim), sim, -1.0), 9)
+                top = np.argsort(-sim, axis=1, kind="stable")[:, :deep]
+                for i, row in enumerate(top):
+                    for j in row:
+                        for c, x in zip(out, (r, left[i]["k"], float(sim[i, j]), right[j]["k"], left[i]["l"] == right[j]["l"])):
+                            c.append(x)
+            k_type = batch.schema.field("a").type.value_type.field("k").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], batch.column(0).type), pa.array(out[1], k_type), pa.array(out[2], pa.float64()), pa.array(out[3], k_type), pa.array(out[4], pa.bool_())],
+                names=["r", "k", "sim", "other", "right"],
+            )
+
+    near = pairs.mapInArrow(meet, f"r {kinds[run]}, k {kinds[key]}, sim double, other {kinds[key]}, right boolean")
+    place = F.row_number().over(Window.partitionBy("r", "k").orderBy(F.col("sim").desc(), "other"))  # a few rows a block
+    return near.withColumn("rn", place).where(F.col("rn") <= deep).groupBy(F.col("r").alias(run), F.col("k").alias(key)).agg(
+        *[F.max((F.col("right") & (F.col("rn") <= k)).cast("double")).alias(f"top{k}") for k in ks]
+    )
 
 
 def linear_mmd(x: DataFrame, y: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -10,6 +10,7 @@ from vectrail.operators import relational as rel
 from vectrail.operators.evaluate import latest_status, metric_fallback, select_runs
 from vectrail.operators.reliability import novelty
 from vectrail.operators.splits import part_counts
+from vectrail.operators.reports import FORBIDDEN_TERMS
 from vectrail.plans import views as v
 from vectrail.plans.views import rounded, sql, sql_r
 from vectrail.sources.readers import even_sample, shared_genes
@@ -64,9 +65,10 @@ def x6(spark: SparkSession, root: str) -> DataFrame:
     return v.runs(spark, root).select("run_id", stem.alias("stem"), F.sha2("run_id", 256).alias("digest"))
 
 
-@query("x11_term_scan", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'guarantee|causal|proves|clinical|mechanism')")
+@query("x11_term_scan", "SELECT doc_id, coalesce(regexp_matches(lower(text), 'clinical|wet-lab|universal-best-model|drug discovery|final truth'), false) AS claims_too_much FROM documents")
 def x11(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").where(F.lower("text").rlike("guarantee|causal|proves|clinical|mechanism")).select("doc_id")
+    held = F.coalesce(F.lower("text").rlike("|".join(FORBIDDEN_TERMS)), F.lit(False))
+    return table(spark, root, "documents").select("doc_id", held.alias("claims_too_much"))
 
 
 @query("x13_log1p", f"SELECT case_id, {sql_r('coalesce(ln(1 + greatest(CASE WHEN isnan(support_signatures) THEN NULL ELSE support_signatures END, 0)), 0)', 'support')}, {sql_r('ln(1 + greatest(n_cells, 0))', 'cells')} FROM cbac_case_examples WHERE n_cells IS NOT NULL AND (support_signatures IS NULL OR isnan(support_signatures) OR isfinite(support_signatures)) GROUP BY ALL")

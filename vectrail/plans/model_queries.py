@@ -87,11 +87,6 @@ def v10(spark: SparkSession, root: str) -> DataFrame:
     return _metrics(spark, root, "map_top20")
 
 
-@query("v11_all_metrics")
-def v11(spark: SparkSession, root: str) -> DataFrame:
-    return vectors.row_metrics(v.pairs(spark, root), ["vec_id"], "truth", "guess")
-
-
 def _sets(spark: SparkSession) -> DataFrame:
     """Sets by position modulo 7, and one of two members that is too small to count."""
     mod = spark.range(64).select(F.concat(F.lit("set"), F.col("id") % 7).alias("pathway"), F.col("id").cast("int").alias("pos"))

@@ -14,7 +14,7 @@ from vectrail.operators import relational as rel
 from vectrail.operators import reliability as rl
 from vectrail.plans import views as v
 from vectrail.operators import features as ft
-from vectrail.plans.report_queries import _any, _DECAY, _decay, _examples, _failures, _FAIL, _ROLES
+from vectrail.plans.report_queries import _any, _DECAY, _decay, _examples, _failures, _FAIL, _MODE, _ROLES
 from vectrail.plans.views import rounded, sql, sql_dot, sql_r
 from vectrail.session import cut
 from vectrail.sources.readers import catalog_row
@@ -275,15 +275,7 @@ def v5(spark: SparkSession, root: str) -> DataFrame:
 
 @query("v17_energy_distance", f"WITH x AS (SELECT dataset_id, vec_id, truth AS t FROM pairs), y AS (SELECT dataset_id, vec_id, guess AS t FROM pairs), a AS (SELECT x.dataset_id, avg(list_distance(x.t, y.t)) AS d FROM x JOIN y USING (dataset_id) GROUP BY ALL), b AS (SELECT p.dataset_id, avg(list_distance(p.t, q.t)) AS d FROM x p JOIN x q ON p.dataset_id = q.dataset_id AND p.vec_id < q.vec_id GROUP BY ALL), c AS (SELECT p.dataset_id, avg(list_distance(p.t, q.t)) AS d FROM y p JOIN y q ON p.dataset_id = q.dataset_id AND p.vec_id < q.vec_id GROUP BY ALL) SELECT dataset_id, {sql_r('greatest(0, 2 * a.d - b.d - c.d)', 'energy_distance')} FROM a JOIN b USING (dataset_id) JOIN c USING (dataset_id)", "pairs")
 def v17(spark: SparkSession, root: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(pdf.truth.tolist()), np.array(pdf.guess.tolist())
-        return pd.DataFrame({"dataset_id": pdf.dataset_id[:1], "energy_distance": [kernels.energy_distance(x, y)]})
-
-    got = v.pairs(spark, root).select("dataset_id", "truth", "guess").groupBy("dataset_id").applyInPandas(one, "dataset_id string, energy_distance double")
-    return rounded(got)
+    return rounded(kernels.energy_distances(v.pairs(spark, root), "dataset_id", "vec_id", "truth", "guess"))
 
 
 @query("v25_plain_cosine", f"SELECT vec_id, {sql_r('coalesce(' + sql_dot('truth', 'guess') + ' / nullif(sqrt(' + sql_dot('truth', 'truth') + ') * sqrt(' + sql_dot('guess', 'guess') + '), 0), 0)', 'cosine')} FROM pairs", "pairs")
@@ -340,6 +332,11 @@ def d10(spark: SparkSession, root: str) -> DataFrame:
 
 @query("d16_split_records", f"WITH {_EXTERNAL}, {_GRID}, n AS (SELECT split_id, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'validation') AS n_validation, count(*) FILTER (WHERE part = 'test') AS n_test FROM grid GROUP BY ALL), a AS (SELECT DISTINCT split_id, split_family FROM f) SELECT split_id, split_family, CASE WHEN n_test = 0 OR n_train = 0 THEN 'unsupported' ELSE 'ready' END AS status, CASE WHEN n_test = 0 THEN 'test mask selects no rows' WHEN n_train = 0 THEN 'test mask selects all rows' ELSE '' END AS reason, n_train, n_validation, n_test FROM a JOIN n USING (split_id)", "sig")
 def d16(spark: SparkSession, root: str) -> DataFrame:
+    return q_records(spark, root).select("split_id", "split_family", "status", "reason", "n_train", "n_validation", "n_test")
+
+
+def q_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every split of the grid with its status."""
     grid, external = _split_grid(spark, root)
     names = v.signatures(spark, root).select(F.col("dataset_id").alias("name")).distinct()
     own = names.select(F.explode(F.array(*[F.lit(f) for f in cp.FAMILIES])).alias("split_family"), F.col("name").alias("scope"), F.lit("").alias("heldout_target"))
@@ -347,7 +344,7 @@ def d16(spark: SparkSession, root: str) -> DataFrame:
     out = spark.createDataFrame([("external_holdout", "internal_vs_external", external)], "split_family string, scope string, heldout_target string")
     asked = own.unionByName(held).unionByName(out).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in _SEEDS])))
     stem = F.concat_ws("__", "split_family", "scope", F.when(F.col("heldout_target") != "", F.concat(F.lit("holdout-"), "heldout_target")), F.concat(F.lit("seed"), "seed"))
-    return cp.split_records(cut(grid), asked.withColumn("split_id", stem)).select("split_id", "split_family", "status", "reason", "n_train", "n_validation", "n_test")
+    return cp.split_records(cut(grid), asked.withColumn("split_id", stem))
 
 
 @query("d14_split_status", "SELECT split_id, CASE WHEN b = 0 OR a = 0 THEN 'unsupported' ELSE 'ready' END AS status, CASE WHEN b = 0 THEN 'no test rows' WHEN a = 0 THEN 'no train rows' ELSE '' END AS reason FROM (SELECT split_id, count(*) FILTER (WHERE split_part = 'train' AND NOT is_control) AS a, count(*) FILTER (WHERE split_part = 'test' AND NOT is_control) AS b FROM units GROUP BY ALL)", "units")
@@ -381,16 +378,16 @@ def e2(spark: SparkSession, root: str) -> DataFrame:
     return cp.contract(u, "delta", "guess", "expected")
 
 
-@query("e12_pathway_summary")
-def e12(spark: SparkSession, root: str) -> DataFrame:
-    sets = spark.range(64).select(F.concat(F.lit("set"), F.col("id") % 7).alias("pathway"), F.col("id").cast("int").alias("pos"))
-    p = v.pairs(spark, root)
-    fid = vectors.pathway_fidelity(p, ["dataset_id", "vec_id"], "truth", "guess", sets)
-    ret = vectors.retrieval(p, "dataset_id", "vec_id", "perturbation_label", "truth", "guess")
-    return rounded(fid.join(ret, ["dataset_id", "vec_id"]).groupBy("dataset_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in ("pathway_cosine", "pathway_direction", "top1", "top5", "top10")]))
+_R1 = """WITH tr AS (SELECT * FROM units WHERE split_part = 'train'), te AS (SELECT * FROM units WHERE split_part = 'test'),
+p AS (SELECT split_id, perturbation_label, sum(n_cells) AS c FROM tr WHERE NOT is_control AND perturbation_label IS NOT NULL GROUP BY ALL),
+r AS (SELECT DISTINCT split_id, reference_key FROM tr WHERE reference_key IS NOT NULL),
+f AS (SELECT te.split_id, te.signature_id, max(CASE WHEN te.perturbation_label IS NOT NULL THEN (p.perturbation_label IS NOT NULL)::INT::DOUBLE END) AS perturbation_seen_in_train,
+  max((r.reference_key IS NOT NULL)::INT::DOUBLE) AS reference_seen_in_train, max(ln(1 + coalesce(p.c, 0))) AS support
+  FROM te LEFT JOIN p ON p.split_id = te.split_id AND p.perturbation_label = te.perturbation_label LEFT JOIN r ON r.split_id = te.split_id AND r.reference_key = te.reference_key GROUP BY ALL),
+k AS (SELECT *, regexp_replace(run_id, '__[^_]+(_[^_]+)*_baseline$', '') AS split_id FROM cases WHERE transportable IS NOT NULL AND split_family IN ('unseen_perturbation_split', 'unseen_combination_split', 'low_support_split', 'dataset_heldout_split', 'external_holdout'))"""
 
 
-@query("r1_examples")
+@query("r1_examples", f"{_R1} SELECT case_id, {_MODE.format(k='transportable', r='risk', f='cosine_similarity', t='0.4::DOUBLE')} AS failure_mode, perturbation_seen_in_train, reference_seen_in_train, {sql_r('support', 'log1p_perturbation_train_cell_count')}, gene_space_policy FROM k LEFT JOIN f ON f.split_id = k.split_id AND f.signature_id = k.signature_id LEFT JOIN (SELECT run_id, gene_space_policy FROM runs) q ON q.run_id = k.run_id", "cases", "units", "runs")
 def r1(spark: SparkSession, root: str) -> DataFrame:
     u = v.units(spark, root).withColumnRenamed("split_part", "part")
     stem = F.regexp_replace("run_id", "__[^_]+(_[^_]+)*_baseline$", "")
@@ -399,7 +396,7 @@ def r1(spark: SparkSession, root: str) -> DataFrame:
     from vectrail.operators.evaluate import STRESS_FAMILIES
 
     got = cp.build_examples(c, u, context, STRESS_FAMILIES, "transport_threshold")
-    return got.select("case_id", "failure_mode", "perturbation_seen_in_train", "reference_seen_in_train", "log1p_perturbation_train_cell_count", "gene_space_policy")
+    return rounded(got.select("case_id", "failure_mode", "perturbation_seen_in_train", "reference_seen_in_train", "log1p_perturbation_train_cell_count", "gene_space_policy"))
 
 
 @query("r7_ablated_features", f"WITH {_ROLES}, s AS (SELECT feature FROM g WHERE deployment_available AND (cat OR num)) " + " UNION ALL ".join(f"SELECT '{a}' AS ablation, feature FROM s WHERE NOT {_any(drop)}" for a, drop in ft.ABLATIONS.items()))

@@ -263,11 +263,17 @@ _HELD = (
 @query("n8_score_baselines", f"WITH {_HELD} SELECT baseline, {_r('accuracy', 'brier', 'roc_auc', 'mean_selective_risk', 'mean_false_transportability_rate', 'mean_abstention_gain')} FROM a JOIN m USING (baseline)", "examples")
 def n8_scores(spark: SparkSession, root: str) -> DataFrame:
     """The naive confidence and the conformal proxy on the held examples."""
+    (a, naive), (b, proxy) = held_scores(spark, root)
+    both = rl.score_row(naive, a, "", 1).unionByName(rl.score_row(proxy, b, "", 1))
+    return rounded(both.select(F.col("ablation").alias("baseline"), "accuracy", "brier", "roc_auc", "mean_selective_risk", "mean_false_transportability_rate", "mean_abstention_gain"))
+
+
+def held_scores(spark: SparkSession, root: str) -> list[tuple[str, DataFrame]]:
+    """The held examples scored by their confidence, and by its excess over the train part's nonconformity."""
     e = rl.relative_threshold(v.examples(spark, root), 0.8).where("target_fidelity IS NOT NULL AND transport_threshold IS NOT NULL")
     parts = cut(rl.group_parts(e, "run_id", "example_id"))
     naive = parts.where("held").withColumn("score", F.coalesce("confidence", F.lit(0.0)))
-    both = rl.score_row(naive, "naive_confidence", "", 1).unionByName(rl.score_row(rl.conformal_scores(parts), "conformal_confidence_proxy", "", 1))
-    return rounded(both.select(F.col("ablation").alias("baseline"), "accuracy", "brier", "roc_auc", "mean_selective_risk", "mean_false_transportability_rate", "mean_abstention_gain"))
+    return [("naive_confidence", naive), ("conformal_confidence_proxy", rl.conformal_scores(parts))]
 
 
 @query("n8_reliability_baselines")
@@ -339,16 +345,48 @@ def n3(spark: SparkSession, root: str) -> DataFrame:
 _DIFF = "WITH m AS (SELECT model, split_family, count(run_id) AS n_runs, avg(mean_cosine) AS v FROM run_metrics GROUP BY ALL), a AS (SELECT m.*, b.v AS anchor FROM m LEFT JOIN (SELECT * FROM m WHERE split_family = 'random_split') b ON m.model = b.model), c AS (SELECT model, split_family, avg(support_signatures) AS s, avg((support_signatures > 0)::INT) AS seen, avg(n_cells) AS far FROM cases GROUP BY ALL), j AS (SELECT a.*, v / nullif(anchor, 0) AS score, ln(1 + coalesce(s, 0)) AS ls, seen, coalesce(far, 0) AS far FROM a LEFT JOIN c USING (model, split_family)), q AS (SELECT *, CASE WHEN max(ls) OVER () > min(ls) OVER () THEN 1 - (ls - min(ls) OVER ()) / (max(ls) OVER () - min(ls) OVER ()) ELSE 0 END AS d1, 1 - coalesce(seen, 1) AS d2, CASE WHEN max(far) OVER () > 0 THEN far / max(far) OVER () ELSE 0 END AS d3 FROM j), d AS (SELECT *, (greatest(0, least(1, d1)) + greatest(0, least(1, d2)) + greatest(0, least(1, d3))) / 3 AS difficulty_index FROM q)"
 
 
+def n4_raw(spark: SparkSession, root: str) -> DataFrame:
+    e = v.cases(spark, root).select("model", "split_family", F.col("support_signatures").alias("perturbation_train_signature_count"), (F.col("support_signatures") > 0).cast("double").alias("perturbation_seen_in_train"), F.lit(None).cast("double").alias("component_seen_fraction"), F.col("n_cells").cast("double").alias("train_test_centroid_l2"))
+    return rp.split_difficulty(v.run_metrics(spark, root), "mean_cosine", e)
+
+
 @query("n4_split_difficulty", f"{_DIFF} SELECT model, split_family, n_runs, {sql_r('score', 'normalized_transfer_score')}, {_r('difficulty_index')}, CASE WHEN split_family = 'random_split' THEN 'low_stress_anchor' WHEN score > 1 THEN 'above_anchor_after_normalization' WHEN difficulty_index >= 0.66 THEN 'high_difficulty_context' ELSE 'moderate_or_mixed_difficulty' END AS difficulty_interpretation FROM d", "run_metrics", "cases")
 def n4(spark: SparkSession, root: str) -> DataFrame:
-    e = v.cases(spark, root).select("model", "split_family", F.col("support_signatures").alias("perturbation_train_signature_count"), (F.col("support_signatures") > 0).cast("double").alias("perturbation_seen_in_train"), F.lit(None).cast("double").alias("component_seen_fraction"), F.col("n_cells").cast("double").alias("train_test_centroid_l2"))
-    got = rp.split_difficulty(v.run_metrics(spark, root), "mean_cosine", e)
-    return rounded(got.select("model", "split_family", "n_runs", "normalized_transfer_score", "difficulty_index", "difficulty_interpretation"))
+    return rounded(n4_raw(spark, root).select("model", "split_family", "n_runs", "normalized_transfer_score", "difficulty_index", "difficulty_interpretation"))
 
 
-@query("n5_main_findings", f"WITH {_DECAY}, {_ATLAS} SELECT 'hardest_stress_family' AS finding, split_family AS subject, {sql_r('v', 'value')} FROM (SELECT split_family, avg(m) AS v FROM decay WHERE model <> 'control_mean_baseline' AND split_family <> 'random_split' GROUP BY ALL ORDER BY v NULLS LAST, split_family LIMIT 1) UNION ALL SELECT 'winning_models', 'all families', count(DISTINCT model)::DOUBLE FROM decay WHERE model <> 'control_mean_baseline' AND family_rank = 1 UNION ALL SELECT * FROM (SELECT 'gravest_failure', concat_ws(' / ', failure_mode, model, split_family), {sql_r('failure_mode_share', 'share')} FROM atlas WHERE failure_severity > 0 ORDER BY failure_severity DESC, failure_mode_share DESC, model, split_family, failure_mode LIMIT 1)", "run_metrics", "cases")
+_FIND = (
+    "SELECT * FROM (SELECT 'F1' AS finding, 'mean_mean_cosine' AS metric, split_family AS subject, avg(m) AS value FROM decay WHERE model <> 'control_mean_baseline' AND split_family <> 'random_split' GROUP BY split_family ORDER BY value NULLS LAST, split_family LIMIT 1) "
+    "UNION ALL SELECT 'F2', 'family_rank', string_agg(CASE WHEN split_family <> 'random_split' THEN split_family || ': ' || model END, '; ' ORDER BY split_family || ': ' || model), count(DISTINCT model)::DOUBLE FROM decay WHERE model <> 'control_mean_baseline' AND family_rank = 1 "
+    "UNION ALL SELECT 'F3', 'rank_change_vs_random', 'ridge_regression_baseline', avg(change)::DOUBLE FROM decay WHERE model = 'ridge_regression_baseline' AND split_family IN ('dataset_heldout_split', 'external_holdout') HAVING count(*) > 0 "
+    "UNION ALL SELECT * FROM (SELECT 'F4', 'false_rate_gain_vs_naive', ablation || ' / ' || estimator, (SELECT mean_false_transportability_rate FROM scores WHERE estimator = 'naive_confidence') - mean_false_transportability_rate AS g FROM scores WHERE estimator <> 'naive_confidence' AND mean_false_transportability_rate IS NOT NULL ORDER BY g DESC, ablation LIMIT 1) "
+    "UNION ALL SELECT * FROM (SELECT 'F5', 'failure_mode_share', concat_ws(' / ', failure_mode, model, split_family), failure_mode_share FROM atlas WHERE failure_severity > 0 ORDER BY failure_severity DESC, failure_mode_share DESC, model, split_family, failure_mode LIMIT 1) "
+    f"UNION ALL SELECT 'F7', 'difficulty_index', split_family, difficulty_index FROM (SELECT * FROM ({_DIFF} SELECT model, split_family, difficulty_index FROM d) WHERE split_family <> 'random_split' ORDER BY difficulty_index DESC NULLS LAST, split_family, model LIMIT 1) "
+    "UNION ALL SELECT 'F10', 'n_outcome_columns', 'feature audit', count(*) FILTER (WHERE target_or_label)::DOUBLE FROM g"
+)
+
+
+def _findings(spark: SparkSession, root: str, **more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    decay = cut(_decay(spark, root))
+    return rp.main_findings(decay, "mean_mean_cosine", _atlas(spark, root), scores=n2(spark, root), difficulty=n4_raw(spark, root), audit=ft.feature_audit(_examples(spark, root)), **more), decay
+
+
+@query("n5_main_findings", f"WITH {_DECAY.replace('s AS (', 's0 AS (', 1).replace('FROM s)', 'FROM s0)').replace('f AS (', 'f0 AS (', 1).replace('FROM f LEFT JOIN (SELECT * FROM f ', 'FROM f0 f LEFT JOIN (SELECT * FROM f0 ').replace('j AS (', 'j0 AS (', 1).replace('FROM j)', 'FROM j0)')}, {_ATLAS}, {_SCORES}, {_ROLES} SELECT finding, metric, subject, {sql_r('value', 'value')} FROM ({_FIND})", "run_metrics", "cases")
 def n5(spark: SparkSession, root: str) -> DataFrame:
-    return rounded(rp.main_findings(_decay(spark, root), "mean_mean_cosine", _atlas(spark, root)))
+    return rounded(_findings(spark, root)[0])
+
+
+@query("n6_narrative")
+def n6(spark: SparkSession, root: str) -> DataFrame:
+    """All ten findings as a bounded text, one row a line."""
+    p = cut(v.pairs(spark, root))
+    sets = spark.range(64).select(F.concat(F.lit("set"), F.col("id") % 7).alias("pathway"), F.col("id").cast("int").alias("pos"))
+    tests = ev.pairwise_comparisons(v.run_metrics(spark, root), ["mean_cosine", "mean_risk"], ["split_family", "dataset_scope", "seed"])
+    found, decay = _findings(
+        spark, root, pairwise=tests, pathway=ev.pathway_fidelity(p, ["vec_id"], "truth", "guess", sets), retrieval=ev.retrieval(p, "dataset_id", "vec_id", "perturbation_label", "truth", "guess"),
+    )
+    text = rp.narrative(found, decay, "mean_mean_cosine")
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
 
 
 @query("n11_screen_validation", f"WITH h AS (SELECT * FROM run_metrics WHERE split_family = 'dataset_heldout_split'), m AS (SELECT heldout_target, model, avg(mean_cosine) AS m FROM h GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY heldout_target ORDER BY m DESC NULLS LAST, model) = 1), s AS (SELECT heldout_target, count(DISTINCT run_id) AS n_runs, count(DISTINCT model) AS n_models, count(DISTINCT seed) AS n_seeds, avg(mean_cosine) AS mean_value FROM h GROUP BY ALL) SELECT dataset_id, n_cells_kept, coalesce(n_runs, 0) AS n_runs, coalesce(n_models, 0) AS n_models, coalesce(n_seeds, 0) AS n_seeds, {_r('mean_value')}, coalesce(b.model, '') AS best_model, {sql_r('b.m', 'best_mean')}, CASE WHEN n_runs > 0 THEN 'completed' ELSE 'no_completed_runs' END AS status FROM preprocessing_summary d LEFT JOIN s ON s.heldout_target = dataset_id LEFT JOIN b ON b.heldout_target = dataset_id", "run_metrics")
