@@ -27,3 +27,14 @@ def test_unpack_with_clashing_columns_and_long_text(spark):
     assert {(r.row_id, r.pos, r.piece) for r in got if r.row_id != 3} == {(1, 0, "a"), (1, 1, "b"), (None, 0, "c")}
     assert sum(r.row_id == 3 for r in got) == 20000
     assert unpack(spark.createDataFrame([], "k long, f string"), "k", "f", "t").count() == 0
+
+
+def test_long_fields_are_whole(spark):
+    import time
+
+    text = ", ".join(f'"v,{i}"' if i % 3 == 0 else f"w{i}" for i in range(20_000)) + ", 'it''s \\'odd\\'', last"
+    df = spark.createDataFrame([(1, text)], "id long, f string")
+    start = time.perf_counter()
+    got = [r.piece for r in unpack(df, "id", "f", "t").orderBy("pos").collect()]
+    assert got == [f"v,{i}" if i % 3 == 0 else f"w{i}" for i in range(20_000)] + ["it's 'odd'", "last"]
+    assert time.perf_counter() - start < 60

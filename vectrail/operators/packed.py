@@ -4,8 +4,8 @@ The field is cut at its quote characters.  Pieces between a pair of quotes are
 literals; the rest are cut into words at whatever is not a word character.  A
 SQL array fold walks over the cut pieces and puts values together in order, so
 quoted delimiters, doubled quotes and backslashed quotes come back plain.  All
-of it runs as built-in expressions inside the scan's stage: no shuffle, no
-Python.
+of it runs as built-in expressions inside the stage that reads the rows: the
+unpacking itself shuffles nothing and uses no Python.
 
 Defined results: null, empty and blank fields give no row; an empty pair of
 quotes gives no row; an opening quote without a partner counts as a delimiter
@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces folded before their values are appended to those before.
+BLOCK = 256
 #: Cuts a field into backslashed quotes, single quote marks and runs of anything else.
 _PIECES = r"""\\["']|["']|[^"'\\]+|\\"""
 
@@ -66,7 +68,14 @@ def packed_values(field: str | Column, underscore: bool = True) -> Column:
             F.concat(s["out"], _words(s["buf"], extra))
         )
 
-    folded = F.aggregate(pieces, state(none, none, nope, no), step, finish)
+    # Pieces are folded block by block, and a block's values appended at once: a long field is not copied a piece at a time.
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces)), F.lit(BLOCK)), lambda i: F.slice(pieces, i, BLOCK))
+
+    def block(s: Column, part: Column) -> Column:
+        inner = F.array(F.aggregate(part, state(s["q"], s["buf"], s["half"], no), step))
+        return F.transform(inner, lambda x: state(x["q"], x["buf"], x["half"], F.concat(s["out"], x["out"])))[0]
+
+    folded = F.aggregate(parts, state(none, none, nope, no), block, finish)
     quoted = F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))
     # Without a quote character the fold has one piece at most; its words are then the result.
     return F.when(quoted, folded).otherwise(_words(text, extra))

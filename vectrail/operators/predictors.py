@@ -84,22 +84,42 @@ def perturbation_mean(units: DataFrame) -> DataFrame:
     return _settle(joined, F.coalesce("m", "x", "g")).drop("m", "x", "g")
 
 
+def _near_ids(train: DataFrame, queries: DataFrame, most: int, vector: str, distance) -> DataFrame:
+    """(run, perturbation_label, qc, nid, dist, rn): the ``most`` nearest train rows of a label for each profile that asks.
+
+    Rows of one context share a profile, so profiles are compared, each distinct pair once, and each passes on its
+    first few rows only; how many rows ask, or share a profile, doesn't matter.  ``qc`` is the asking profile's hash.
+    """
+    key = ["run", "perturbation_label"]
+    first = F.row_number().over(Window.partitionBy(*key, "tc").orderBy("signature_id"))
+    own = train.withColumn("tc", F.xxhash64(vector))
+    rows = own.select(*key, "tc", "signature_id").withColumn("_rn", first).where(F.col("_rn") <= most)
+    seen = own.groupBy(*key, "tc").agg(F.first(vector).alias("_t"))
+    asked = queries.groupBy(*key, F.xxhash64(vector).alias("qc")).agg(F.first(vector).alias("_q"))
+    apart = asked.join(seen, key).select(*key, "qc", "tc", distance("_q", "_t").alias("dist"))
+    near = apart.join(rows, [*key, "tc"]).select(*key, "qc", F.col("signature_id").alias("nid"), "dist")
+    rn = F.row_number().over(Window.partitionBy(*key, "qc").orderBy("dist", "nid"))
+    return near.withColumn("rn", rn).where(F.col("rn") <= most)
+
+
 def nearest_contexts(units: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(run, signature_id, rn, w, nd): up to ``most`` train rows of the same label, nearest by control profile first.
 
     A neighbour weighs its cells over its distance; where some neighbour has none, only such count, by their cells.
     """
-    train = _train(units).select(
-        "run", "perturbation_label", F.col("signature_id").alias("nid"), F.col("profile").alias("np"), F.col("delta").alias("nd"), F.col("n_cells").alias("nc")
-    )
-    q = queries.where("NOT is_control").select("run", "signature_id", "perturbation_label", "profile")
-    near = q.join(train, ["run", "perturbation_label"]).withColumn("dist", 1 - cosine("profile", "np"))
-    near = near.withColumn("dist", F.when(F.col("dist") <= EPS, F.lit(0.0)).otherwise(F.col("dist")))
-    one = Window.partitionBy("run", "signature_id")
-    top = near.withColumn("rn", F.row_number().over(one.orderBy("dist", "nid"))).where(F.col("rn") <= most)
-    cells = F.col("nc").cast("double")
-    w = F.when(F.min("dist").over(one) == 0, F.when(F.col("dist") == 0, cells).otherwise(F.lit(0.0))).otherwise(cells / F.col("dist"))
-    return top.select("run", "signature_id", "rn", w.alias("w"), "nd")
+    train = _train(units)
+    q = queries.where("NOT is_control").select("run", "signature_id", "perturbation_label", F.xxhash64("profile").alias("qc"))
+
+    def distance(a: str, b: str) -> Column:
+        d = 1 - cosine(a, b)
+        return F.when(d <= EPS, F.lit(0.0)).otherwise(d)
+
+    near = _near_ids(train, queries.where("NOT is_control"), most, "profile", distance)
+    there = near.join(train.select("run", F.col("signature_id").alias("nid"), F.col("n_cells").cast("double").alias("cells"), F.col("delta").alias("nd")), ["run", "nid"])
+    asks = ["run", "perturbation_label", "qc"]
+    least = F.min("dist").over(Window.partitionBy(*asks))  # ``most`` rows at most
+    w = F.when(least == 0, F.when(F.col("dist") == 0, F.col("cells")).otherwise(F.lit(0.0))).otherwise(F.col("cells") / F.col("dist"))
+    return q.join(there.select(*asks, "rn", w.alias("w"), "nd"), asks).select("run", "signature_id", "rn", "w", "nd")
 
 
 def cell_context_knn(units: DataFrame, k: int | None = None) -> DataFrame:
@@ -234,15 +254,12 @@ def confidence_knn(units: DataFrame, k: int = 5) -> DataFrame:
     product = F.aggregate(F.zip_with("qp", "np", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     best = asked.join(seen, "run").groupBy("run", "qd", "qr").agg(F.max(product).alias("best"))
     rows = test.join(best, (test["run"] == best["run"]) & (test["dataset_id"] == best["qd"]) & (test["reference_key"] == best["qr"]), "left").drop(best["run"])
-    near = (
-        test.where("NOT is_control")
-        .select("run", "signature_id", "perturbation_label", "qp")
-        .join(train.select("run", "perturbation_label", F.col("signature_id").alias("nid"), "np", "n_cells"), ["run", "perturbation_label"])
-        .join(F.broadcast(most), "run")
-        .withColumn("sim", product)
-        .withColumn("rn", F.row_number().over(Window.partitionBy("run", "signature_id").orderBy(F.col("sim").desc(), "nid")))
-        .where(F.col("rn") <= k)
-    )
+    asks = ["run", "perturbation_label", "qc"]
+    alike = lambda a, b: -F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    ids = _near_ids(train.withColumn("u", F.col("np")), test.where("NOT is_control").withColumn("u", F.col("qp")), k, "u", alike)
+    found = ids.join(train.select("run", F.col("signature_id").alias("nid"), "n_cells"), ["run", "nid"]).select(*asks, (-F.col("dist")).alias("sim"), "n_cells")
+    wanted = test.where("NOT is_control").select("run", "signature_id", "perturbation_label", F.xxhash64("qp").alias("qc"))
+    near = wanted.join(found, asks).join(F.broadcast(most), "run")
     w = F.greatest(support_scale(F.col("n_cells"), F.col("most")), F.lit(EPS))
     weighted = near.groupBy("run", "signature_id").agg((F.sum(clip(F.col("sim"), 0.0, 1.0) * w) / F.sum(w)).alias("x"))
     up = F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))

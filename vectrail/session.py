@@ -31,9 +31,11 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder, set on the context if nobody set one."""
+    """The shared scratch folder.  A machine's own folder stands in for it only where driver and executors are one machine."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = getattr(spark, "_vectrail_scratch", None) or tempfile.mkdtemp(prefix="vectrail-")
         spark._vectrail_scratch = named
@@ -44,8 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    """An unused path for a table of this library in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/vectrail/{uuid.uuid4().hex}"
+    """An unused path for a table of this application in the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/vectrail-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -80,7 +86,6 @@ def release(df: DataFrame) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes this library's scratch tables; call it once no frame built on them is needed any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/vectrail")
+    """Deletes this application's scratch tables; call it once no frame built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
