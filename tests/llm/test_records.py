@@ -81,11 +81,11 @@ def test_stored_days_are_kept_and_replaced(spark, tmp_path):
 # Cutoffs
 
 
-@pytest.mark.parametrize("most, k", [(200_000, 1024), (3, 64), (1, 8)])
-def test_cutoff_is_exact(spark, most, k):
+@pytest.mark.parametrize("k", [1024, 64, 8])
+def test_cutoff_is_exact(spark, k):
     rows = scored()
     records = cutoff.prepare(spark.createDataFrame(rows, SCHEMA), ["g"], "s", "id")
-    limits = cutoff.cutoffs(records, 0.8, k=k, max_bracket=most)
+    limits = cutoff.cutoffs(records, 0.8, k=k)
     got = {r.record for r in cutoff.kept(records, limits).collect()}
     want = set()
     for v in finite_by_group(rows).values():
@@ -95,6 +95,15 @@ def test_cutoff_is_exact(spark, most, k):
     assert sum(r.n_kept for r in cutoff.report(records, limits).collect()) == len(want)
 
 
+def test_brackets_that_miss_are_moved(spark, monkeypatch):
+    rows = scored()
+    records = cutoff.prepare(spark.createDataFrame(rows, SCHEMA), ["g"], "s", "id")
+    want = {(r.sid, r.n, r.cutoff) for r in cutoff.cutoffs(records, 0.8).collect()}
+    for off in (-0.3, -0.1):  # brackets of no width or turned inside out: all of them miss
+        monkeypatch.setattr(cutoff, "slack", lambda k, off=off: off)
+        assert {(r.sid, r.n, r.cutoff) for r in cutoff.cutoffs(records, 0.8).collect()} == want
+
+
 def test_cutoff_of_nothing(spark):
     records = cutoff.prepare(spark.createDataFrame([], SCHEMA), ["g"], "s", "id")
     assert cutoff.kept(records, cutoff.cutoffs(records, 0.8)).count() == 0

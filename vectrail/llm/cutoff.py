@@ -3,8 +3,9 @@
 One pass builds a mergeable rank-error-bounded sketch per source and asks it for
 a bracket around the wanted quantile.  A second pass counts what is above the
 bracket and the rows at each distinct score inside it, so the cutoff and the
-kept rows, ties included, are exact.  A bracket that still holds many distinct
-scores is narrowed by a sketch of its own before any source's scores are ranked.
+kept rows, ties included, are exact.  A bracket that missed is moved outwards and
+counted again.  The counts inside are summed along the scores in ranges, so a
+bracket may hold any number of distinct scores and is never one task's.
 
 Defined results: records with a null, NaN or infinite score, or that do not
 qualify, take no part; a null source is a source of its own; all ties at the
@@ -13,18 +14,14 @@ cutoff are kept; sources without a record give no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.session import cut, scratch
+from vectrail.operators.relational import grouped_running
+from vectrail.session import scratch
 from vectrail.tables import finite, group_key
 
 SKETCH_K = 1024
-#: Points at which a bracket's own sketch is asked when the bracket is narrowed.
-GRID = 64
-#: A source's bracket is ranked once it has at most so many distinct scores.
-MAX_BRACKET = 200_000
-
 _INF = float("inf")
 
 
@@ -41,70 +38,39 @@ def prepare(df: DataFrame, source: list[str], score: str, record: str) -> DataFr
     )
 
 
-def cutoffs(records: DataFrame, keep: float, k: int = SKETCH_K, max_bracket: int = MAX_BRACKET) -> DataFrame:
+def cutoffs(records: DataFrame, keep: float, k: int = SKETCH_K) -> DataFrame:
     """(sid, n, cutoff): the largest score that at least ``keep`` of the source's records reach."""
-    state = records.groupBy("sid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.kll_sketch_agg_double("score", F.lit(k)).alias("s"),
-    )
     at = 1.0 - keep
-    state = cut(
-        state.select(
+    sketched = records.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("score", F.lit(k)).alias("s"))
+    state = scratch(
+        sketched.select(
             "sid",
             "n",
             F.ceil(F.col("n") * F.lit(keep) - F.lit(1e-9)).cast("long").alias("want"),
-            F.kll_sketch_get_quantile_double("s", F.lit(max(0.0, at - slack(k)))).alias("lo"),
-            F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, at + slack(k)))).alias("hi"),
+            F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, max(0.0, at - slack(k))))).alias("lo"),
+            F.kll_sketch_get_quantile_double("s", F.lit(max(0.0, min(1.0, at + slack(k))))).alias("hi"),
         )
     )
-    allowed = max_bracket
+    inside = (F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi"))
     while True:
-        # Rows above the bracket; then the number of rows in it, and of distinct scores.
-        joined = records.join(state, "sid")
-        seen = joined.groupBy("sid").agg(
-            F.count_if(F.col("score") > F.col("hi")).alias("above"),
-            F.count_if((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi"))).alias("inside"),
-            F.approx_count_distinct(F.when((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), F.col("score"))).alias("kinds"),
-        )
-        state = cut(state.join(seen, "sid"))
-        missed = (F.col("above") >= F.col("want")) | (F.col("above") + F.col("inside") < F.col("want"))
-        wide = ~missed & (F.col("kinds") > allowed)
-        bad, broad = state.agg(F.count_if(missed), F.count_if(wide)).first()
-        if not bad and not broad:
+        seen = records.join(state, "sid").groupBy("sid").agg(F.count_if(F.col("score") > F.col("hi")).alias("above"), F.count_if(inside).alias("inside"))
+        counted = scratch(state.join(seen, "sid"))
+        low, high = F.col("above") >= F.col("want"), F.col("above") + F.col("inside") < F.col("want")
+        if not counted.where(low | high).limit(1).count():
             break
-        # A bracket that missed is moved outwards; a broad one is narrowed by a sketch of its rows.
-        inside = joined.where((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")))
-        grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        inner = inside.groupBy("sid").agg(F.kll_sketch_agg_double("score", F.lit(k)).alias("s")).select(
-            "sid", F.kll_sketch_get_quantile_double("s", grid).alias("q")
+        # The cutoff lies above the bracket, or below it: the next one reaches from there to the end.
+        state = scratch(
+            counted.select(
+                "sid", "n", "want",
+                F.when(low, F.col("hi")).when(high, F.lit(-_INF)).otherwise(F.col("lo")).alias("lo"),
+                F.when(low, F.lit(_INF)).when(high, F.col("lo")).otherwise(F.col("hi")).alias("hi"),
+            )
         )
-        rel = 1.0 - (F.col("want") - F.col("above")) / F.col("inside")
-        at_grid = lambda x: F.element_at("q", F.greatest(F.lit(0), F.least(F.lit(GRID), x)).cast("int") + 1)
-        bound = state.join(inner, "sid", "left").select(
-            "sid",
-            "n",
-            "want",
-            F.when(missed, F.when(F.col("above") >= F.col("want"), F.col("lo")).otherwise(F.lit(-_INF)))
-            .when(wide, at_grid(F.floor((rel - slack(k)) * GRID)))
-            .otherwise(F.col("lo"))
-            .alias("lo"),
-            F.when(missed, F.when(F.col("above") >= F.col("want"), F.lit(_INF)).otherwise(F.col("hi")))
-            .when(wide, at_grid(F.ceil((rel + slack(k)) * GRID)))
-            .otherwise(F.col("hi"))
-            .alias("hi"),
-        )
-        allowed *= 4  # so that the rounds end even where no bracket can be narrowed
-        state = cut(bound)
-    histogram = (
-        records.join(state, "sid")
-        .where((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")))
-        .groupBy("sid", "score")
-        .agg(F.count(F.lit(1)).alias("c"), F.first("above").alias("above"), F.first("want").alias("want"), F.first("n").alias("n"))
-    )
-    reach = F.col("above") + F.sum("c").over(Window.partitionBy("sid").orderBy(F.col("score").desc()))
+    histogram = records.join(counted, "sid").where(inside).groupBy("sid", "score").agg(F.count(F.lit(1)).alias("c"))
+    run = grouped_running(histogram, ["sid"], [F.col("score").desc()], {"upto": F.col("c")})
     return (
-        histogram.select("sid", "n", "score", "want", reach.alias("reach"))
-        .where(F.col("reach") >= F.col("want"))
+        run.join(counted, "sid")
+        .where(F.col("above") + F.col("upto") >= F.col("want"))
         .groupBy("sid")
         .agg(F.first("n").alias("n"), F.max("score").alias("cutoff"))
     )
