@@ -155,10 +155,21 @@ class Text:
         return cls((packed >> 1).tolist(), np.cumsum(packed & 1).tolist())
 
 
-def pack(text: str) -> np.ndarray:
+class _Hashes(dict):
+    """Hashes of words seen before; emptied when it has grown large."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = out = crc32(w.encode())
+        return out
+
+
+def pack(text: str, hashes_of: _Hashes | None = None) -> np.ndarray:
     """A text's tokens as hashes of its words, the lowest bit telling where a written word begins."""
     words, number = joined_words(text)
-    hashes = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words))
+    hashes_of = _Hashes() if hashes_of is None else hashes_of
+    hashes = np.array([hashes_of[w] for w in words], np.int64)
     return (hashes & ~np.int64(1)) | (np.diff(np.array(number, np.int64), prepend=-1) != 0)
 
 
@@ -256,10 +267,11 @@ def _read(df: DataFrame, key: str, text: str, table: np.ndarray | None, need: in
     sent = df.sparkSession.sparkContext.broadcast(table) if table is not None else None  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
             rows, toks, seeds = [], [], []
             for r, body in enumerate(batch.column(1).to_pylist()):
-                packed = pack(body)
+                packed = pack(body, known)
                 h = runs(packed)
                 if sent is not None:
                     spot = h & np.uint64((1 << BITS) - 1)

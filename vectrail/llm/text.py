@@ -52,18 +52,15 @@ def words(text: str) -> list[str]:
     return _WORD.findall(fold(clean(text)))
 
 
-_JOINED = regex.compile(r"([\p{L}\p{N}]+)([^\s\p{L}\p{N}]*)")
-
-
 def joined_words(text: str) -> tuple[list[str], list[int]]:
     """The folded words of a text, and per word the number of the unbroken run of signs it is written in."""
-    body = fold(clean(text))
-    out, number, k, end = [], [], 0, 0
-    for m in _JOINED.finditer(body):
-        if m.start() != end:
+    out, number, k = [], [], 0
+    for run in fold(clean(text)).split():
+        parts = [run] if run.isalnum() else _WORD.findall(run)
+        if parts:
             k += 1
-        out.append(m.group(1)), number.append(k)
-        end = m.end()
+            out += parts
+            number += [k] * len(parts)
     return out, number
 
 
