@@ -58,12 +58,19 @@ CURATED = {
 }
 
 
-def _stem(w: str) -> str:
-    return w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] not in "su" else w
+class _Stems(dict):
+    """Stems of words seen before; '' for a word that begins with a digit.  Emptied when it has grown large."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = out = "" if w[0].isdigit() else w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] not in "su" else w
+        return out
 
 
-def sentence_tokens(text: str) -> list[list[str]]:
-    return [[_stem(w) for w in _WORD.findall(s) if not w[0].isdigit()] for s in sentences(text)]
+def sentence_tokens(text: str, stems: _Stems | None = None) -> list[list[str]]:
+    stems = _Stems() if stems is None else stems
+    return [[t for w in _WORD.findall(s) if (t := stems[w])] for s in sentences(text)]
 
 
 def curated(subjects: list[str]) -> dict[str, int]:
@@ -107,8 +114,9 @@ def _labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects:
     mine = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(masks, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = _Stems()
         for batch in batches:
-            bodies = ["\n".join(" ".join(s) for s in sentence_tokens(t)) for t in batch.column(1).to_pylist()]
+            bodies = ["\n".join(" ".join(s) for s in sentence_tokens(t, stems)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), batch.column(2)], names=["id", "body", "mask"])
 
     return mine.select("id", "text", "mask").mapInArrow(run, f"id {dict(docs.dtypes)[key]}, body string, mask long")
@@ -274,12 +282,12 @@ def hits(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = None
+        a, stems = None, _Stems()
         for batch in batches:
             a = a or automaton(sent.value)
             rows, at, sizes, found = [], [], [], []
             for r, body in enumerate(batch.column(1).to_pylist()):
-                for s, tokens in enumerate(sentence_tokens(body)):
+                for s, tokens in enumerate(sentence_tokens(body, stems)):
                     if terms := find(a, tokens):
                         rows.append(r), at.append(s), sizes.append(len(tokens)), found.append(terms)
             yield pa.RecordBatch.from_arrays(
