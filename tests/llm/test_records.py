@@ -243,6 +243,24 @@ def test_two_misspellings_and_two_close_names(spark):
     assert not any({word[a], word[b]} == {"MORINASU1", "MORINASO1"} for a, b in got)
 
 
+def test_misspellings_meet_without_the_right_record(spark):
+    """Two misspellings of a record that is nowhere rightly spelt, slips in several targets of a record, a slip amid a name of more than 64 letters."""
+    r = random.Random(6)
+    long = ["".join(r.choice("abcdefgh") for _ in range(65 + i % 7)) for i in range(0, 65, 4)]
+    rows = [
+        (1, "s", "train", "D", "r", "GATUPLO1_MORINASU1", "", 0), (2, "s", "test", "D", "r", "GATTUPELO1_MORINASU1", "", 0),
+        (3, "s", "test", "D", "r", "GATUPELO1_MORINASSU1", "", 0), (4, "s", "test", "D", "r", "GATUPLO1_MORNASU1_KELVATI", "", 0),
+        (5, "s", "train", "D", "r", "GATTUPELO1_MORINASU1_KELVTI", "", 0),
+    ]
+    rows += [(10 + i, "z", "train", "D", "r", w, "", 0) for i, w in enumerate(["GATUPELO1", "MORINASU1", "KELVATI"] * 20)]
+    rows += [(100 + 2 * i + k, "s", p, "D", "r", x, "", 0) for i, w in enumerate(long) for k, (p, x) in enumerate([("train", w), ("test", w[: 4 * i] + "q" + w[4 * i + i % 2 :])])]
+    m, p = overlap.cross_split(spark.createDataFrame(rows, UNITS))
+    got = {(r.unit_id_a, r.unit_id_b) for r in overlap.same_units(m).collect()}
+    assert got == {(1, 2), (1, 3), (4, 5)} | {(100 + 2 * i, 101 + 2 * i) for i in range(len(long))}
+    share = {r.unit_id: r.share for r in overlap.shares(m, p).collect()}
+    assert all(0 < share[u] < 1 for u in (2, 3, 4))
+
+
 def test_odd_and_very_long_labels(spark):
     long = "".join(random.Random(3).choice("abcdefgh") for _ in range(50_000))
     rows = [(1, "s", "train", "D", "r", long, "", 0), (2, "s", "test", "D", "r", long[:400] + long[401:], "", 0), (3, "s", "test", "D", "r", "", "", 0), (4, "s", "test", "D", "r", ";;_", "", 0),

@@ -3,23 +3,24 @@
 A record names a set of targets; its normalised form has one line for each target
 and one for each letter left out of it, so that two spellings one slip apart have
 a line in common.  The lines are cut into content-defined chunks where a rolling
-hash of their bytes says so, and at their ends.  Chunk digests are joined between
-records; the lengths of shared chunks, summed, give the share of a record that
-another one holds.  Equal records are folded before the join.  Records meet on
-their rarest chunks only: as many as hold more than what two records one slip
-apart may differ in, so that every such pair meets and a chunk that many records
-hold joins little.
-
-What meets and shares enough is then checked exactly: each target must be the
-other record's, or one slip away from it with one of the two spellings hardly
-attested, and dataset and reference must agree.  Nothing is repaired before the chunks have met; without them no pair
-comes out, not even one of equal records.  A record one slip away from a better
-attested one takes its class, so that two misspellings of one record meet, too.
+hash of their bytes says so, and at their ends.  Chunk digests are joined; the
+lengths of shared chunks, summed, give the share of one text that another holds.
+Texts meet on their rarest chunks only: as many as hold more than what two texts
+one slip apart may differ in, so that every such pair meets and a chunk that many
+texts hold joins little.
+
+The texts that meet are the spellings of single targets, so that two misspellings
+of one record are found to be the same even where no record has it rightly spelt.
+What meets and shares enough is then checked exactly: a spelling is that of the
+best attested one a slip away, if it is hardly attested itself.  Records are the
+same whose targets, dataset and reference are.  Nothing is repaired before the
+chunks have met; a spelling that does not meet itself gives its records no class,
+so without the chunks no pair comes out, not even one of equal records.
 
 Defined results: records without a dataset, reference or named target match
-nothing; null splits match nothing; an empty side gives no pair.  Names of more
-than ``LONG`` letters have no lines with a letter left out: a slip spoils few of
-their many chunks.  A chunk counts 65,535 bytes at most.
+nothing; null splits match nothing; an empty side gives no pair.  Names of
+``LONG`` letters and more have lines for their beginning and end: a slip leaves
+one of the two whole.  A chunk counts 65,535 bytes at most.
 """
 
 from __future__ import annotations
@@ -76,11 +77,15 @@ def chunk_batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _lines(name: str) -> list[str]:
-    """The lines of a target written as ``stem:number``: it, and it with each letter of the stem left out."""
+    """The lines of a target written as ``stem:number``: it, it with each letter of the stem left out, and the ends of a long one."""
     stem, num = name.rsplit(":", 1)
-    if len(stem) > LONG:
-        return [stem + num]
-    return list(dict.fromkeys([stem + num, *(stem[:i] + stem[i + 1 :] + num for i in range(len(stem)))]))
+    lines = [stem + num]
+    if len(stem) <= LONG:
+        lines += [stem[:i] + stem[i + 1 :] + num for i in range(len(stem))]
+    if len(stem) >= LONG:  # powers of two, so that names whose lengths differ by one have one in common
+        for size in {1 << ((n - 2) // 2).bit_length() - 1 for n in (len(stem) - 1, len(stem))}:
+            lines += [stem[:size], stem[-size:]]
+    return list(dict.fromkeys(lines))
 
 
 def chunked(texts: DataFrame) -> DataFrame:
@@ -91,19 +96,19 @@ def chunked(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, of_text, of_name, long = [], [], [], []
+            lines, of_text, of_name, n = [], [], [], 0
             for i, names in enumerate(batch.column(1).to_pylist()):
                 for name in names:
                     mine = _lines(name)
                     lines += mine
                     of_text += [i] * len(mine)
-                    of_name += [len(long)] * len(mine)
-                    long.append(len(name.rsplit(":", 1)[0]) >= LONG)
+                    of_name += [n] * len(mine)
+                    n += 1
             owner, digest, length = chunk_batch([t.encode() for t in lines])
             size = np.minimum(length, 65535).astype(np.uint64)
             text = np.array(of_text, np.int64)[owner]
             key = digest.view(np.uint64) & ~np.uint64(0xFFFF) | size
-            need = _needs(batch.num_rows, of_text, of_name, long, owner, key)
+            need = _needs(batch.num_rows, of_text, of_name, owner, key)
             order = np.lexsort((key, text))
             text, key = text[order], key[order]
             fresh = np.ones(len(key), bool)
@@ -117,7 +122,7 @@ def chunked(texts: DataFrame) -> DataFrame:
     return texts.select("tid", "names", "n").mapInArrow(run, "tid long, n long, names array<string>, keys array<long>, need int")
 
 
-def _needs(rows: int, of_text: list[int], of_name: list[int], long: list[bool], owner: np.ndarray, key: np.ndarray) -> list[int]:
+def _needs(rows: int, of_text: list[int], of_name: list[int], owner: np.ndarray, key: np.ndarray) -> list[int]:
     """Per text, the least bytes of distinct chunks it shares with any text in which one of its names has a slip."""
     lines: list[set[int]] = [set() for _ in of_text]
     for line, k in zip(owner.tolist(), key.tolist()):
@@ -135,7 +140,7 @@ def _needs(rows: int, of_text: list[int], of_name: list[int], long: list[bool],
         least = []
         for n, ls in mine.items():
             others = total - weigh(k for k in each[n] if held[k] == 1)
-            least.append(max(others, weigh(ls[0]) // 3 if long[n] else min(map(weigh, ls))))
+            least.append(max(others, min(map(weigh, ls))))
         out.append(max(1, min(least, default=1)))
     return out
 
@@ -145,10 +150,10 @@ def _weight(keys: Column) -> Column:
 
 
 def overlaps(texts: DataFrame) -> DataFrame:
-    """(a, b, share, x, y, bn): texts b that hold at least the needed part of a; share is that part of a's bytes.
+    """(a, b, share, x, y, an, bn): texts b that hold at least the needed part of a; share is that part of a's bytes.
 
     ``texts`` has (tid, names, n); of two texts, a is the one seen less often (or the later id), and every
-    text meets itself; x and y are their names, bn how often b is seen.
+    text meets itself; x and y are their names, an and bn how often they are seen.
     """
     cut_up = scratch(chunked(texts))
     each = cut_up.select("tid", "need", "n", F.explode("keys").alias("key"))
@@ -163,84 +168,73 @@ def overlaps(texts: DataFrame) -> DataFrame:
     theirs = prefix.select(F.col("tid").alias("b"), F.col("n").alias("bn"), "key")
     better = (F.col("bn") > F.col("an")) | ((F.col("bn") == F.col("an")) & (F.col("b") <= F.col("a")))
     met = mine.join(theirs, "key").where(better).select("a", "b").distinct()
-    held = cut_up.select(F.col("tid").alias("a"), F.col("keys").alias("ka"), F.col("need").alias("na"), F.col("names").alias("x"))
+    held = cut_up.select(F.col("tid").alias("a"), F.col("keys").alias("ka"), F.col("need").alias("na"), F.col("names").alias("x"), F.col("n").alias("an"))
     by = cut_up.select(F.col("tid").alias("b"), F.col("keys").alias("kb"), F.col("need").alias("nb"), F.col("names").alias("y"), F.col("n").alias("bn"))
     shared = _weight(F.array_intersect("ka", "kb"))
     return (
         met.join(held, "a").join(by, "b")
-        .select("a", "b", "na", "nb", "x", "y", "bn", shared.alias("shared"), (shared / _weight(F.col("ka"))).alias("share"))
+        .select("a", "b", "na", "nb", "x", "y", "an", "bn", shared.alias("shared"), (shared / _weight(F.col("ka"))).alias("share"))
         .where("shared >= greatest(na, nb)")
-        .select("a", "b", "share", "x", "y", "bn")
+        .select("a", "b", "share", "x", "y", "an", "bn")
     )
 
 
-def checked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, share, bn): the ``pairs`` whose texts name the same targets, apart from one slip in the letters of a target.
+def spellings(stems: DataFrame) -> DataFrame:
+    """(stem, cls): the spelling each of ``stems`` (stem, n) stands for; itself where none is better.  Stems that do not meet themselves are left out.
 
-    A slip counts only where one of its two spellings is seen twice at most or eight times less often than the other.
+    A spelling of three letters or more stands for the best attested one a slip away, the first of those equally attested, if it
+    is seen twice at most or eight times less often.  That one is not followed further: two slips make another name.
     """
-    pairs = scratch(pairs)
-    cols = ["a", "b", "share", "bn"]
-    left = pairs.where("a <> b").select(*cols, F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y")).where("size(x) = size(y)")
-    stem = lambda c: F.substring_index(c, ":", 1)
-    num = lambda c: F.substring_index(c, ":", -1)
+    texts = stems.select(F.xxhash64("stem").alias("tid"), F.array(F.concat("stem", F.lit(":"))).alias("names"), "n")
+    stem = lambda c: F.regexp_replace(F.col(c)[0], ":$", "")
+    met = scratch(overlaps(texts).select(stem("x").alias("x"), stem("y").alias("y"), "an", "bn"))
+    turned = (F.col("an") == F.col("bn")) & (F.col("x") < F.col("y"))  # of two equally attested, the first is the better
     slips = (
-        left.select(*cols, F.size("x").alias("m"), F.explode("x").alias("x"), "y")
-        .select(*cols, "m", "x", F.explode("y").alias("y"))
-        .where(num(F.col("x")) == num(F.col("y")))
-        .select(*cols, "m", stem(F.col("x")).alias("x"), stem(F.col("y")).alias("y"), num(F.col("x")).alias("num"))
-        .where(one_slip("x", "y"))
+        met.where("x <> y AND length(x) >= 3 AND length(y) >= 3 AND (an <= 2 OR bn >= 8 * an)").where(one_slip("x", "y"))
+        .select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("stem"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("to"), "bn")
     )
-    seen = texts.select(F.explode("names").alias("name"), "n").groupBy(stem(F.col("name")).alias("stem")).agg(F.sum("n").alias("c"))
-    known = slips.join(seen.select(F.col("stem").alias("x"), F.col("c").alias("cx")), "x").join(seen.select(F.col("stem").alias("y"), F.col("c").alias("cy")), "y")
-    hardly = F.least("cx", "cy") <= F.greatest(F.lit(2), F.greatest("cx", "cy") / 8)
-    paired = (
-        known.where(hardly)
-        .groupBy("a", "b")
-        .agg(
-            *[F.first(c).alias(c) for c in ("share", "bn", "m")],
-            F.size(F.collect_set(F.struct("x", "num"))).alias("xs"), F.size(F.collect_set(F.struct("y", "num"))).alias("ys"),
-        )
-        .where("xs = m AND ys = m")
-    )  # a set has no more members than a record has targets
-    return pairs.where("a = b").select(*cols).unionByName(paired.select(*cols))
-
-
-def classes(pairs: DataFrame) -> DataFrame:
-    """(tid, cls): the best attested text each text of ``pairs`` (a, b, bn) is the same as; itself where there is none better."""
-    best = scratch(pairs.groupBy(F.col("a").alias("tid")).agg(F.max_by("b", F.struct(F.col("bn"), -F.col("b"))).alias("cls")))
-    moved = best.where("tid <> cls")
-    for _ in range(2):  # a text with a slip in each of several targets gets to its class over those with fewer
-        on = moved.select(F.col("tid").alias("cls"), F.col("cls").alias("to"))
-        moved = moved.join(on, "cls", "left").select("tid", F.coalesce("to", "cls").alias("cls"))
-    return best.where("tid = cls").unionByName(moved)
+    best = slips.groupBy("stem").agg(F.min_by("to", F.struct(-F.col("bn"), F.col("to"))).alias("to"))
+    return met.where("x = y").select(F.col("x").alias("stem")).join(best, "stem", "left").select("stem", F.coalesce("to", "stem").alias("cls"))
 
 
 def cross_split(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the units with their place (split, dataset and reference) and the class of their text, and
-    the checked pairs of texts with their shares.
+    """(members, pairs): the units with their place (split, dataset and reference), their text and its class, and
+    the pairs of texts of one class with their shares.
 
     ``units``: (unit_id, split_id, split_part, dataset_id, reference_key, perturbation_label), controls left out.
     """
-    written = F.transform(targets("perturbation_label"), lambda t: F.concat(t["stem"], F.lit(":"), t["num"]))
-    split_part = F.col("split_part")
-    records = scratch(
+    label = "perturbation_label"
+    labels = scratch(units.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("targets", targets(label)))
+    parts = labels.select(label, "n", F.explode("targets").alias("t")).select(label, "n", "t.stem", "t.num")
+    known = scratch(spellings(scratch(parts.groupBy("stem").agg(F.sum("n").alias("n")))))
+    written = F.array_sort(F.array_distinct(F.transform("targets", lambda t: F.concat(t["stem"], F.lit(":"), t["num"]))))
+    meant = parts.join(known, "stem").groupBy(label).agg(F.array_sort(F.collect_set(F.concat("cls", "num"))).alias("meant"))
+    texts = scratch(
+        labels.join(meant, label).select(label, written.alias("names"), "meant")
+        .select(label, "names", F.xxhash64("names").alias("tid"), F.xxhash64("meant").alias("cls"))
+    )
+    members = scratch(
         units.where("split_id IS NOT NULL AND split_part IN ('train', 'validation', 'test')")
         .select(
-            "unit_id", F.col("split_id").alias("split"), (split_part == "train").alias("train"), dataset_key("dataset_id").alias("dataset"),
-            reference_key("reference_key").alias("reference"), F.array_sort(F.array_distinct(written)).alias("names"),
-        )
-        .select(
-            "unit_id", "split", "train", "dataset", "names",
-            F.when(F.col("dataset").isNotNull() & F.col("reference").isNotNull(), F.xxhash64("split", "dataset", "reference")).alias("place"),
-            F.when(F.size("names") > 0, F.xxhash64("names")).alias("tid"),
+            "unit_id", F.col("split_id").alias("split"), (F.col("split_part") == "train").alias("train"), dataset_key("dataset_id").alias("dataset"),
+            reference_key("reference_key").alias("reference"), label,
         )
+        .withColumn("place", F.when(F.col("dataset").isNotNull() & F.col("reference").isNotNull(), F.xxhash64("split", "dataset", "reference")))
+        .join(texts.drop("names"), label, "left")
+        .select("unit_id", "split", "train", "dataset", "place", "tid", "cls")
     )
-    whole = records.where("place IS NOT NULL AND tid IS NOT NULL")
-    texts = scratch(whole.groupBy("tid").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("n")))
-    pairs = scratch(checked(texts, overlaps(texts)))
-    cls = scratch(classes(pairs))
-    return records.drop("names").join(cls, "tid", "left"), pairs
+    return members, _class_pairs(members, texts)
+
+
+def _class_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, share): texts of one class, with the part of a's bytes that b holds; a is seen less often, or has the later id."""
+    seen = members.where("place IS NOT NULL AND tid IS NOT NULL").groupBy("tid").agg(F.first("cls").alias("cls"), F.count(F.lit(1)).alias("n"))
+    named = texts.groupBy("tid").agg(F.first("names").alias("names"))
+    cut_up = chunked(seen.join(named, "tid").select("tid", "names", "n")).join(seen.select("tid", "cls"), "tid")
+    a = cut_up.select("cls", F.col("tid").alias("a"), F.col("n").alias("an"), F.col("keys").alias("ka"))
+    b = cut_up.select("cls", F.col("tid").alias("b"), F.col("n").alias("bn"), F.col("keys").alias("kb"))
+    better = (F.col("bn") > F.col("an")) | ((F.col("bn") == F.col("an")) & (F.col("b") <= F.col("a")))
+    return a.join(b, "cls").where(better).select("a", "b", (_weight(F.array_intersect("ka", "kb")) / _weight(F.col("ka"))).alias("share"))
 
 
 def same_units(members: DataFrame) -> DataFrame:
