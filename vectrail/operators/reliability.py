@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions.labels import components
 from vectrail.operators.features import ABLATIONS, FeatureSpec, ablate, baseline_specs, feature_audit, feature_spec  # noqa: F401
+from vectrail.operators.forest import RandomForestClassifier
 from vectrail.operators.relational import global_rank, global_running, grouped_quantiles, grouped_rank, log1p_or_zero
 from vectrail.session import cut
 from vectrail.tables import group_key
@@ -169,7 +170,7 @@ def fit_scores(df: DataFrame, spec: FeatureSpec, estimator: str, label: str = "t
     if estimator == "logistic_regression":
         model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", regParam=1.0 / n, standardization=False, maxIter=1000, probabilityCol="_p")
     elif estimator == "random_forest":
-        model = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=7, probabilityCol="_p")
+        return RandomForestClassifier(labelCol=label, numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=7).scores(train, test, spec.numeric, spec.categorical).drop("_w")
     else:
         raise ValueError(f"unknown estimator {estimator}")
     fitted = Pipeline(stages=[*stages, model]).fit(train)
