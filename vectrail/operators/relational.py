@@ -115,9 +115,14 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     Values are counted first, so that equal ones are one row; running counts then place the two ranks a quantile lies between.
     """
-    gk = (group_key(*keys) if keys else F.lit(0).cast("long")).alias("_gk")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return counted_quantiles(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), keys, "_v", "_c", probs)
+
+
+def counted_quantiles(df: DataFrame, keys: list[str], value: str, n: str, probs: list[float]) -> DataFrame:
+    """``grouped_quantiles`` of values that are there ``n`` times each, one row a group and value."""
+    gk = (group_key(*keys) if keys else F.lit(0).cast("long")).alias("_gk")
+    counts = df.select(*keys, F.col(value).alias("_v"), F.col(n).alias("_c"))
     upto = grouped_running(counts, keys, [F.col("_v")], {"_upto": F.col("_c")}).select(gk, *keys, "_v", "_c", "_upto")
     sizes = upto.groupBy("_gk", *keys).agg(F.max("_upto").alias("_n"))
     spots = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("_n") - 1) * F.lit(float(p)) + 1).alias("spot")) for p in probs]))

@@ -408,7 +408,7 @@ def r7(spark: SparkSession, root: str) -> DataFrame:
 
 @query("r14_prediction_rows")
 def r14(spark: SparkSession, root: str) -> DataFrame:
-    parts = cut(rl.group_parts(_examples(spark, root), "run_id", "example_id"))
+    parts = rl.packed_once(rl.group_parts(cut(_examples(spark, root)), "run_id", "example_id"))
     return rounded(rl.prediction_rows(parts, list(rl.ABLATIONS)))
 
 

@@ -230,15 +230,14 @@ def n7(spark: SparkSession, root: str) -> DataFrame:
 def n7_metrics(spark: SparkSession, root: str) -> DataFrame:
     """The suite refitted at every multiplier, beside the rate of ``n7_relative_threshold``, which is over all examples."""
     rates = {r.multiplier: r.transportable_rate for r in n7(spark, root).collect()}
-    out = None
-    for m, rate in sorted(rates.items()):
-        got = rl.ablation_suite(cut(_examples(spark, root, m)), ["full", "no_context_distance"], at=0.8)
-        here = got.select(
-            F.lit(m).alias("threshold_multiplier"), "ablation", "estimator", F.lit(rate).alias("transportable_rate"), "accuracy", "roc_auc", "average_precision",
-            "mean_false_transportability_rate", "mean_selective_risk", "coverage_at_0p8", "false_transportability_rate_at_0p8",
-        )
-        out = here if out is None else out.unionByName(here)
-    return rounded(out)
+    labels = {f"{rl.TARGET}_{i}": m for i, m in enumerate(sorted(rates))}
+    e = cut(rl.label_columns(_examples(spark, root), labels))
+    got = rl.label_suites(e, list(labels), ["full", "no_context_distance"], at=0.8)
+    of = lambda x: F.create_map(*[F.lit(z) for y, m in labels.items() for z in (y, x[m])])[F.col("label")]
+    return rounded(got.select(
+        of({m: m for m in rates}).alias("threshold_multiplier"), "ablation", "estimator", of(rates).alias("transportable_rate"), "accuracy", "roc_auc", "average_precision",
+        "mean_false_transportability_rate", "mean_selective_risk", "coverage_at_0p8", "false_transportability_rate_at_0p8",
+    ))
 
 
 @query("r13_ablation_suite")
